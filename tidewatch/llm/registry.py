@@ -2,6 +2,8 @@
 from importlib import import_module
 
 _WHERE = {
+    "op1_chat": "chat",
+    "op5_quality": "quality",
     "op10_byte_bpe": "bpe",
 }
 
