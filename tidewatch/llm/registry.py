@@ -3,6 +3,7 @@ from importlib import import_module
 
 _WHERE = {
     "op1_chat": "chat",
+    "op3_mix": "mixing",
     "op5_quality": "quality",
     "op10_byte_bpe": "bpe",
 }
