@@ -5,6 +5,7 @@ _WHERE = {
     "op1_chat": "chat",
     "op3_mix": "mixing",
     "op5_quality": "quality",
+    "op8_jaccard": "jaccard",
     "op10_byte_bpe": "bpe",
 }
 
