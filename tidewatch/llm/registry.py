@@ -6,6 +6,7 @@ _WHERE = {
     "op3_mix": "mixing",
     "op5_quality": "quality",
     "op8_jaccard": "jaccard",
+    "op9_pii": "pii",
     "op10_byte_bpe": "bpe",
 }
 
