@@ -4,6 +4,7 @@ from importlib import import_module
 _WHERE = {
     "op1_chat": "chat",
     "op3_mix": "mixing",
+    "op4_neardup": "neardup",
     "op5_quality": "quality",
     "op8_jaccard": "jaccard",
     "op9_pii": "pii",
