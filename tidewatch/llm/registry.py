@@ -3,9 +3,11 @@ from importlib import import_module
 
 _WHERE = {
     "op1_chat": "chat",
+    "op2_lm": "lm",
     "op3_mix": "mixing",
     "op4_neardup": "neardup",
     "op5_quality": "quality",
+    "op6_license": "licenses",
     "op8_jaccard": "jaccard",
     "op9_pii": "pii",
     "op10_byte_bpe": "bpe",
