@@ -8,6 +8,7 @@ _WHERE = {
     "op4_neardup": "neardup",
     "op5_quality": "quality",
     "op6_license": "licenses",
+    "op7_sharding": "sharding",
     "op8_jaccard": "jaccard",
     "op9_pii": "pii",
     "op10_byte_bpe": "bpe",
