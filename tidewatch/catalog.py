@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import cron
 from .operators import detect
 from .plans import surrogate
 
@@ -43,3 +44,25 @@ def run_totals(spark, sf_dir):
     return surrogate.runs(spark, sf_dir).groupBy(F.col("job_id").alias("job")).agg(
         F.count("*").alias("observed"), F.min("start").alias("first_start"), F.max("end").alias("last_end"),
         F.max(F.timestamp_diff("SECOND", "start", "end")).alias("longest_s"))
+
+
+@query("cron_occurrences", """
+SELECT 1 AS job, CAST(t AS TIMESTAMP) AS due FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 15 MINUTE) s(t)
+UNION ALL SELECT 2, CAST(t AS TIMESTAMP) FROM generate_series(TIMESTAMP '2024-01-01 03:00', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) s(t)
+ WHERE day(t) = 13 OR dayofweek(t) = 5""")
+def cron_occurrences(spark, sf_dir):
+    rows = [(1, *cron.parse("*/15 * * * *")), (2, *cron.parse("0 3 13 * fri"))]
+    jobs = spark.createDataFrame(rows, "job_id int, " + cron.SCHEMA)
+    return cron.occurrences(jobs, "2024-01-01 00:00:00", "2024-01-31 00:00:00").select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
+
+
+@query("missed_hours", """
+WITH o AS (SELECT DISTINCT user_id AS job, t FROM events, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-07', INTERVAL 1 HOUR) s(t))
+SELECT job, CAST(t AS TIMESTAMP) AS due FROM o WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = o.job
+ AND date_trunc('second', e.ts) BETWEEN o.t - INTERVAL 120 SECOND AND o.t + INTERVAL 120 SECOND)""")
+def missed_hours(spark, sf_dir):
+    r = surrogate.runs(spark, sf_dir)
+    hourly = cron.parse("@hourly")
+    one = spark.createDataFrame([(0, *hourly)], "job_id int, " + cron.SCHEMA)
+    due = r.select("job_id").distinct().join(F.broadcast(cron.occurrences(one, "2024-01-01 00:00:00", "2024-01-07 00:00:00").select("ts")))
+    return detect.missed(due, r, 120).select(F.col("job_id").alias("job"), F.col("ts").alias("due"))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 def overlaps(runs):
     """Every pair of runs of one job in which the earlier one ends strictly after the later one starts.
 
-    A run without an end can be covered but covers nothing. Rows whose running maximum of earlier
-    ends and whose own end reach nothing are kept out of the join by the equi key and the residual.
+    A run without an end can be covered but covers nothing.
     """
     p = runs.select("job_id", *[F.col(c).alias("p_" + c) for c in ("start", "end", "ord")]).where("p_end is not null")
     c = runs.select("job_id", *[F.col(c).alias("c_" + c) for c in ("start", "end", "ord")])
