@@ -90,7 +90,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     q = cut(shards.groupBy("source").applyInPandas(quotas, "_q_source string, _q_shard long, _n long, _q long, _words long"))
     d = d.join(q, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_shard") == F.col("_q_shard")), "left")
     # chosen blocks of a shard: the lowest seeded hashes, as many as the quota leaves over
-    blocks = q.where("_q % _n > 0").select("_q_source", "_q_shard", (F.col("_q") % F.col("_n")).alias("_m"), F.expr("explode(sequence(0L, _n - 1))").alias("b"))
+    blocks = q.where("_q % nullif(_n, 0) > 0").select("_q_source", "_q_shard", (F.col("_q") % F.col("_n")).alias("_m"), F.expr("explode(sequence(0L, _n - 1))").alias("b"))
     order = Window.partitionBy("_q_source", "_q_shard").orderBy(F.xxhash64("_q_source", "_q_shard", "b", F.lit(seed + 2)), "b")
     chosen = blocks.withColumn("r", F.row_number().over(order)).where("r <= _m").groupBy("_q_source", "_q_shard").agg(F.array_sort(F.collect_list("b")).alias("bs"))
     d = d.join(chosen.select(F.col("_q_source").alias("_c_source"), F.col("_q_shard").alias("_c_shard"), "bs"),
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     # block b covers words [b * words div n, (b + 1) * words div n)
     part = """coalesce(aggregate(filter(sequence(greatest((_end - size) * _n div _words - 1, 0), least(_end * _n div _words + 1, _n - 1)), b -> array_contains(bs, b)),
         0L, (a, b) -> a + greatest(0L, least(_end, (b + 1) * _words div _n) - greatest(_end - size, b * _words div _n))), 0L)"""
-    taken = F.expr(f"if(size = 0, 0L, size * (_q div _n) + {part})")
+    taken = F.expr(f"if(size = 0, 0L, size * (_q div nullif(_n, 0)) + {part})")
     return d.select(*docs.columns, "size", "source_size", "target", taken.alias("taken"))
 
 
