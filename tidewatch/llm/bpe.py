@@ -91,19 +91,18 @@ def token_bytes(spark, ranks_path: str) -> DataFrame:
 
 
 def decode_words(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """Adds `bytes`, the concatenated bytes of each word's ids, by a join with the token-byte table."""
+    """(word, ids, bytes): the bytes of each word's ids in order, by a join with the token-byte table."""
     tb = token_bytes(encoded.sparkSession, ranks_path)
     parts = encoded.select("word", F.posexplode("ids").alias("p", "id")).join(F.broadcast(tb), "id")
-    whole = parts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("p", F.hex("bytes").alias("h")))).alias("l"))
-    whole = whole.select("word", F.unhex(F.concat_ws("", "l.h")).alias("bytes"))
-    return encoded.join(whole, "word")
+    rows = parts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("p", "id", "bytes"))).alias("l"))
+    return rows.select("word", F.col("l.id").alias("ids"), F.expr("aggregate(l.bytes, X'', (a, x) -> concat(a, x))").alias("bytes"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with with_ids)."""
     b = cut(blocks(docs, pattern))
     distinct = b.where("word is not null").select("word").distinct()
-    coded = decode_words(cut(encode_words(distinct, ranks_path)), ranks_path)
+    coded = decode_words(encode_words(distinct, ranks_path), ranks_path)
     rows = (
         b.where("word is not null").select("block", "k", "word")
         .join(coded, "word")
