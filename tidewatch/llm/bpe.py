@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Code points per block; bounds the memory of reassembly. One longer document is a block by itself.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 
 
 def _pattern(pattern: str):
@@ -33,6 +33,29 @@ def _pattern(pattern: str):
     return regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
 
+def pack(ids: list, at: list) -> tuple[np.ndarray, bytes]:
+    """Order of the words by falling frequency, and ids, counts and positions in that order, compressed.
+
+    Low and high bytes lie apart, so frequent words leave the high ones nearly empty.
+    """
+    lens = np.array([len(a) for a in at], "<u4")
+    pos = np.concatenate(at) if at else np.zeros(0, "<u4")
+    count = np.bincount(pos) if len(pos) else np.zeros(0, np.int64)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), "<u4")
+    rank[order] = np.arange(len(order), dtype="<u4")
+    planes = rank[pos].view("u1").reshape(-1, 4).T.tobytes()
+    return order, zlib.compress(np.array(ids, "<i8").tobytes() + lens.tobytes() + planes, 1)
+
+
+def unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, counts, positions) of n documents."""
+    raw = zlib.decompress(data)
+    planes = np.frombuffer(raw, "u1", -1, 12 * n)
+    pos = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n), pos
+
+
 def blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (block, k, word, payload): one per distinct word, and one with the documents' positions."""
 
@@ -41,12 +64,11 @@ def blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> Dat
         seen, ids, at, chars = {}, [], [], 0
 
         def flush():
-            name = f"{part}:{n}"
-            lens = np.array([len(a) for a in at], "<u4")
-            pos = np.concatenate(at) if at else np.zeros(0, "<u4")
-            data = zlib.compress(np.array(ids, "<i8").tobytes() + lens.tobytes() + pos.tobytes(), 1)
+            name = (part << 32) + n
+            order, data = pack(ids, at)
             yield pd.DataFrame({"block": name, "k": [len(ids)], "word": [None], "payload": [data]})
             w = list(seen)
+            w = [w[i] for i in order]
             for i in range(0, len(w), 50_000):
                 yield pd.DataFrame({"block": name, "k": range(i, i + len(w[i : i + 50_000])), "word": w[i : i + 50_000], "payload": None})
 
@@ -63,7 +85,7 @@ def blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> Dat
         if ids:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "block string, k long, word string, payload binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "block long, k long, word string, payload binary")
 
 
 def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
@@ -98,6 +120,20 @@ def decode_words(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return rows.select("word", F.col("l.id").alias("ids"), F.expr("aggregate(l.bytes, X'', (a, x) -> concat(a, x))").alias("bytes"))
 
 
+def _flat(parts, kind: str):
+    """(start, length, values) of arrays laid end to end."""
+    parts = list(parts)
+    n = np.array([len(x) for x in parts], np.int64)
+    return np.cumsum(n) - n, n, np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _gather(start, n, values, p):
+    """The arrays numbered p, end to end."""
+    size = n[p]
+    shift = start[p] - (np.cumsum(size) - size)
+    return values[np.repeat(shift, size) + np.arange(size.sum())]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with with_ids)."""
     b = cut(blocks(docs, pattern))
@@ -112,16 +148,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
 
     def join_up(f: pd.DataFrame) -> pd.DataFrame:
         head = f["payload"].notna()
-        data, n = zlib.decompress(f.loc[head, "payload"].iloc[0]), int(f.loc[head, "k"].iloc[0])
+        docs_, lens, pos = unpack(f.loc[head, "payload"].iloc[0], int(f.loc[head, "k"].iloc[0]))
         f = f[~head].sort_values("k")
-        ids, raw = [np.asarray(x, "<u4") for x in f["ids"]], list(f["bytes"])
-        docs_, lens = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<u4", n, 8 * n)
-        pos, out, i = np.frombuffer(data, "<u4", -1, 12 * n), [], 0
+        tokens, raw = _flat(f["ids"].map(lambda x: x.astype("<u4")), "<u4"), _flat(f["bytes"].map(lambda x: np.frombuffer(x, "u1")), "u1")
+        out, i = [], 0
         for d, m in zip(docs_, lens):
-            p = pos[i : i + m].tolist()
+            p = pos[i : i + m]
             i += m
-            t = np.concatenate([ids[j] for j in p]) if p else np.zeros(0, "<u4")
-            row = (d, len(t), hashlib.sha256(t.tobytes()).hexdigest(), hashlib.sha256(b"".join([raw[j] for j in p])).hexdigest())
+            t = _gather(*tokens, p)
+            row = (d, len(t), hashlib.sha256(t.tobytes()).hexdigest(), hashlib.sha256(_gather(*raw, p).tobytes()).hexdigest())
             out.append(row + ((t.astype("i4").tolist(),) if with_ids else ()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary folder serves only where none is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return where
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df to spark.checkpoint.dir; a temporary folder serves only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tidewatch-"))
-    return df.checkpoint(True)
+    """df as a compressed table written to the shared folder, which ends its lineage."""
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def words(text):

@@ -13,7 +13,6 @@ documents. Null text counts as empty and has one token, the end. A null doc_id t
 from __future__ import annotations
 
 import math
-
 import zlib
 
 import numpy as np
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import blocks
+from .bpe import blocks, unpack
 from .common import cut, lower_ascii, table, words
 
 BITS_PER_ENTRY, PROBES, LAMBDA, END = 12, 4, 0.7, "\n"
@@ -96,13 +95,12 @@ def score(rows: DataFrame, n: int, v: int, model) -> DataFrame:
     def run(f: pd.DataFrame) -> pd.DataFrame:
         bits, filt = model.value
         head = f["payload"].notna()
-        data, m = zlib.decompress(f.loc[head, "payload"].iloc[0]), int(f.loc[head, "k"].iloc[0])
+        ids, lens, pos = unpack(f.loc[head, "payload"].iloc[0], int(f.loc[head, "k"].iloc[0]))
         f = f[~head].sort_values("k")
         word, c = f["word"].tolist(), f["c"].to_numpy(float)
         base = np.log10((c + 1) / (n + 1 * (v + 1)))
         one = lookup(_hash(word), bits, filt)
-        ids, lens = np.frombuffer(data, "<i8", m), np.frombuffer(data, "<u4", m, 8 * m)
-        pos, out, i = np.frombuffer(data, "<u4", -1, 12 * m).astype(np.int64), [], 0
+        pos, out, i = pos.astype(np.int64), [], 0
         end = word.index(END) if END in word else 0
         for d, size in zip(ids, lens):
             p = pos[i : i + size]
