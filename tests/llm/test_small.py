@@ -78,3 +78,23 @@ def test_pattern_spans():
 
 def test_license_phrase(docs):
     assert [(r.doc_id, r.label) for r in licenses.scan(docs).collect()] == [(5, "mit")]
+
+
+def test_near_vectors_match_brute_force(spark):
+    from tidewatch.llm import neardup
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((700, 16))
+    x = np.concatenate([base, base[:40] + rng.standard_normal((40, 16)) * 0.1, base[:1] + rng.standard_normal((60, 16)) * 0.05, base[:5]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (None, [1.0] * 16), (9004, [])]
+    got = {r.vec_id: r for r in neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    want = hit.sum(1)
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= want).all() and links.sum() >= 0.98 * want.sum()
+    assert all(got[i].component_id == 0 for i in range(740, 800)) and got[800].component_id == 0
+    for i in (9001, 9002, 9003, 9004):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert neardup.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0

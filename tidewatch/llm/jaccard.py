@@ -99,7 +99,8 @@ def _verify(f: pd.DataFrame) -> pd.DataFrame:
                 edges.append((ids[v], ids[u]))
                 todo.append(u)
     out = [(ids[k], int(link[k] @ copies), None) for k in np.flatnonzero(hit)] + [(a, 0, b) for a, b in edges]
-    return pd.DataFrame(out, columns=["cls", "links", "other"]).astype({"other": "Int64"})
+    # by column: a float column of missing and whole numbers would round the large ones
+    return pd.DataFrame({"cls": [r[0] for r in out], "links": [r[1] for r in out], "other": pd.array([r[2] for r in out], "Int64")})
 
 
 def link(docs: DataFrame) -> DataFrame:
