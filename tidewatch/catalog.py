@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import cron
 from .operators import detect
 from .plans import surrogate
+from .sources import logs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,3 +67,25 @@ def missed_hours(spark, sf_dir):
     one = spark.createDataFrame([(0, *hourly)], "job_id int, " + cron.SCHEMA)
     due = r.select("job_id").distinct().join(F.broadcast(cron.occurrences(one, "2024-01-01 00:00:00", "2024-01-07 00:00:00").select("ts")))
     return detect.missed(due, r, 120).select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
+
+
+def _as_log(spark, sf_dir, stamp: str):
+    """The events as cron's log lines, one source per event type, in time order."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat(F.date_format("ts", stamp), F.lit(" host CRON["), F.col("event_id"), F.lit("]: (u"), F.col("user_id"), F.lit(") CMD (run "), F.col("event_type"), F.lit(")"))
+    return ev.select(F.col("event_type").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("lineno"), line.alias("value"))
+
+
+_COMMANDS = """SELECT 'u' || user_id AS "user", 'run ' || event_type AS command, date_trunc('second', ts) AS start FROM events"""
+
+
+@query("log_cron_iso", _COMMANDS)
+def log_cron_iso(spark, sf_dir):
+    lines = _as_log(spark, sf_dir, "yyyy-MM-dd'T'HH:mm:ss")
+    return logs.cron_commands(logs.parse(lines, "2024-12-31 00:00:00")).select("user", "command", F.col("ts").alias("start"))
+
+
+@query("log_cron_yearless", _COMMANDS)
+def log_cron_yearless(spark, sf_dir):
+    lines = _as_log(spark, sf_dir, "MMM d HH:mm:ss")
+    return logs.cron_commands(logs.parse(lines, "2024-12-31 00:00:00")).select("user", "command", F.col("ts").alias("start"))
