@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, jaccard, mixing, pii, quality
-from tidewatch.llm.common import table, words
+from tidewatch.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,12 +34,8 @@ def personal_data(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Each document occurs as often as the mix takes it whole; a part taken besides is a row of its first words."""
-    m = mixing.mix(docs.select(COLUMNS)).where("taken > 0")
-    whole = m.withColumn("_n", F.explode(F.expr("array_repeat(1, cast(taken div size as int))")))
-    some = F.slice(words(F.col("text")), F.lit(1), (F.col("taken") % F.col("size")).cast("int"))
-    part = m.where("taken % size > 0").withColumn("text", F.array_join(some, " "))
-    return whole.select(COLUMNS).unionByName(part.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS))
+    """Each document occurs as often as the mix takes it whole; every range of chosen blocks besides is a row, as it stands in the text."""
+    return mixing.taken_texts(mixing.mix(docs.select(COLUMNS))).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def encode_bytes(spark, docs, sf_dir):

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import SEP, cut, table, words
 
 CAP = 3
 SHARD_DOCS = 4096
@@ -64,7 +64,10 @@ def sainte_lague(votes, seats: int, most) -> np.ndarray:
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """docs with size, source_size, target, taken."""
+    """docs with size, source_size, target, rounds, parts, taken.
+
+    A row is taken rounds times whole; parts are the word ranges [f, t) of its chosen blocks besides.
+    """
     spark = docs.sparkSession
     d = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
     per = d.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
@@ -89,17 +92,36 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     q = cut(shards.groupBy("source").applyInPandas(quotas, "_q_source string, _q_shard long, _n long, _q long, _words long"))
     d = d.join(q, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_shard") == F.col("_q_shard")), "left")
-    # chosen blocks of a shard: the lowest seeded hashes, as many as the quota leaves over
+    # chosen blocks of a shard: the lowest seeded hashes, as many as the quota leaves over; known by the last of them
+    hashed = f"xxhash64({{0}}, {{1}}, {{2}}, {seed + 2})"
     blocks = q.where("_q % nullif(_n, 0) > 0").select("_q_source", "_q_shard", (F.col("_q") % F.col("_n")).alias("_m"), F.expr("explode(sequence(0L, _n - 1))").alias("b"))
-    order = Window.partitionBy("_q_source", "_q_shard").orderBy(F.xxhash64("_q_source", "_q_shard", "b", F.lit(seed + 2)), "b")
-    chosen = blocks.withColumn("r", F.row_number().over(order)).where("r <= _m").groupBy("_q_source", "_q_shard").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    d = d.join(chosen.select(F.col("_q_source").alias("_c_source"), F.col("_q_shard").alias("_c_shard"), "bs"),
+    order = F.struct(F.expr(hashed.format("_q_source", "_q_shard", "b")).alias("h"), "b")
+    w = Window.partitionBy("_q_source", "_q_shard").orderBy("_o")
+    last = blocks.withColumn("_o", order).withColumn("r", F.row_number().over(w)).where("r = _m")
+    d = d.join(last.select(F.col("_q_source").alias("_c_source"), F.col("_q_shard").alias("_c_shard"), F.col("_o").alias("_last")),
                F.col("source").eqNullSafe(F.col("_c_source")) & (F.col("_shard") == F.col("_c_shard")), "left")
-    # block b covers words [b * words div n, (b + 1) * words div n)
-    part = """coalesce(aggregate(filter(sequence(greatest((_end - size) * _n div _words - 1, 0), least(_end * _n div _words + 1, _n - 1)), b -> array_contains(bs, b)),
-        0L, (a, b) -> a + greatest(0L, least(_end, (b + 1) * _words div _n) - greatest(_end - size, b * _words div _n))), 0L)"""
-    taken = F.expr(f"if(size = 0, 0L, size * (_q div nullif(_n, 0)) + {part})")
-    return d.select(*docs.columns, "size", "source_size", "target", taken.alias("taken"))
+    # block b covers words [b * words div n, (b + 1) * words div n); a document's blocks are _b0 to _b1
+    d = d.withColumn("_b0", F.expr("((_end - size + 1) * _n - 1) div nullif(_words, 0)")).withColumn("_b1", F.expr("(_end * _n - 1) div nullif(_words, 0)"))
+    h = lambda b: f"named_struct('h', {hashed.format('source', '_shard', b)}, 'b', {b}) <= _last"
+    # chosen blocks that follow each other are one range: from a block without a chosen one before it to one without a chosen one after it
+    parts = F.expr(f"""if(size = 0 or _last is null, cast(array() as array<struct<f:bigint,t:bigint>>), zip_with(
+        filter(sequence(_b0, _b1), b -> {h('b')} and (b = _b0 or not ({h('b - 1')}))),
+        filter(sequence(_b0, _b1), b -> {h('b')} and (b = _b1 or not ({h('b + 1')}))),
+        (x, y) -> named_struct('f', greatest(0L, x * _words div _n - _end + size), 't', least(size, (y + 1) * _words div _n - _end + size))))""")
+    d = d.withColumn("rounds", F.expr("if(size = 0, 0L, _q div nullif(_n, 0))")).withColumn("parts", parts)
+    taken = F.expr("size * rounds + aggregate(parts, 0L, (a, x) -> a + x.t - x.f)")
+    return d.select(*docs.columns, "size", "source_size", "target", "rounds", "parts", taken.alias("taken"))
+
+
+def taken_texts(mixed: DataFrame) -> DataFrame:
+    """A row per whole copy and per range that mix() takes; a range keeps the separators between its words."""
+    # a generator's output: the pieces are cut once a text, not once a range
+    pieces = F.expr(rf"if(exists(parts, p -> p.t - p.f < size), regexp_extract_all(text, r'[^\x20\x09-\x0D]+{SEP[:-1]}*', 0), cast(array() as array<string>))")
+    m = mixed.where("taken > 0").withColumn("_p", F.explode(F.array(pieces)))
+    piece = F.transform("parts", lambda p: F.when(p["t"] - p["f"] == F.col("size"), F.col("text")).otherwise(
+        F.rtrim(F.array_join(F.slice("_p", (p["f"] + 1).cast("int"), (p["t"] - p["f"]).cast("int")), ""), F.lit(" \t\n\v\f\r"))))
+    texts = F.concat(F.array_repeat("text", F.col("rounds").cast("int")), piece)
+    return m.withColumn("text", F.explode(texts)).drop("_p")
 
 
 def op3_mix(spark, sf_dir):
