@@ -1,16 +1,18 @@
 """License scans by diagonal voting.
 
 Rolling word pairs of every text are joined to the pairs of the templates. A hit votes for the
-diagonal (text position - template position); votes of a text and template are added up per
-diagonal, diagonals at most SLIP apart are merged, and a merged span counts when it holds at least
-the template's share of its pairs. Short templates, the base phrases, must match whole.
+diagonal (text position - template position). A span of a long template is a chain of hits in the
+order of both text and template, each at most SLIP diagonals from the one before; it counts when it
+holds at least SHARE of the template's pairs, every pair once. A chain is thus at most SLIP + 1
+times as long as its template. Short templates, the base phrases, must match whole.
 
 Null text counts as empty. Rows are told apart by (doc_id, text hash); equal rows give equal rows.
 The template table is fixed below, which bounds its broadcast.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, table
@@ -36,19 +38,39 @@ def templates(spark) -> DataFrame:
     return spark.createDataFrame(rows, "g string, t int, label string, j int, pairs int, base boolean")
 
 
+def chains(i, j, need: int) -> list[tuple[int, int, int]]:
+    """(first, last, pairs) in text positions of the best chains of need pairs that do not overlap; hits come by text position."""
+    best, ends = {}, []  # (i, j): (pairs, first)
+    for a, b in zip(map(int, i), map(int, j)):
+        before = [best[k] for q in range(b) for k in ((a - (b - q) - s, q) for s in range(-SLIP, SLIP + 1)) if k[0] < a and k in best]
+        n, first = max(before, default=(0, a))
+        best[a, b] = n + 1, first
+        if n + 1 >= need:
+            ends.append((-n - 1, first, a))
+    out = []
+    for n, first, last in sorted(ends):
+        if all(last < f or first > e for f, e, _ in out):
+            out.append((first, last, -n))
+    return out
+
+
+def _chains(i: pd.Series, j: pd.Series, need: pd.Series) -> pd.Series:
+    return pd.Series([[{"first": f, "last": e, "n": n} for f, e, n in chains(*x)] for x in zip(i, j, need)], dtype=object)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, x, t, label, base, first, last, share): verified spans in words; x hashes the text."""
     d = docs.select("doc_id", F.xxhash64("text").alias("x"), F.filter(F.split(lower_ascii(F.coalesce("text", F.lit(""))), _SPLIT), lambda w: w != "").alias("w")).distinct()
     grams = d.select("doc_id", "x", F.posexplode(F.expr("if(size(w) < 2, cast(array() as array<string>), zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)))")).alias("i", "g"))
     hits = grams.join(F.broadcast(templates(docs.sparkSession)), "g").withColumn("diag", F.col("i") - F.col("j"))
     key = ["doc_id", "x", "t", "label", "base", "pairs"]
-    votes = hits.groupBy(*key, "diag").agg(F.count_distinct("j").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"))
-    whole = votes.where("base and n = pairs").select(*key, "first", (F.col("last") + 1).alias("last"), F.lit(1.0).alias("share"))
-    w = Window.partitionBy("doc_id", "x", "t").orderBy("diag")
-    new = (F.col("diag") - F.lag("diag").over(w) > SLIP).cast("int")
-    merged = votes.where("not base").withColumn("span", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy(*key, "span").agg(F.sum("n").alias("n"), F.min("first").alias("first"), (F.max("last") + 1).alias("last"))
-    spans = spans.withColumn("share", F.least(F.lit(1.0), F.col("n") / F.col("pairs"))).where(f"share >= {SHARE}")
+    votes = hits.where("base").groupBy(*key, "diag").agg(F.count_distinct("j").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"))
+    whole = votes.where("n = pairs").select(*key, "first", (F.col("last") + 1).alias("last"), F.lit(1.0).alias("share"))
+    # a text that lacks the template's pairs, however often it repeats some, is no candidate
+    need = F.ceil(F.col("pairs") * SHARE - 1e-9).cast("int")
+    long = hits.where("not base").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("h"), F.count_distinct("j").alias("n")).where(F.col("n") >= need)
+    spans = long.select(*key, F.explode(F.pandas_udf(_chains, "array<struct<first:int,last:int,n:int>>")("h.i", "h.j", need)).alias("s"))
+    spans = spans.select(*key, F.col("s.first").alias("first"), (F.col("s.last") + 1).alias("last"), (F.col("s.n") / F.col("pairs")).alias("share"))
     return whole.unionByName(spans.select(whole.columns))
 
 
