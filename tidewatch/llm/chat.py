@@ -8,8 +8,9 @@ one conversation.
 
 Turn: `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`. Inside a text every `<` + backslashes + `|` gains one
 backslash, so no control string can occur there, and losing one backslash restores the text. In a
-role `%`, `<` and newline are written %25, %3C and %0A. Null text and role are empty. An empty table
-gives no conversation; equal rows are separate messages; other columns are ignored.
+role `%`, `<` and newline are written %25, %3C and %0A. Null text and role are empty; messages of a
+null conv_id are one conversation. An empty table gives no conversation; equal rows are separate
+messages; other columns are ignored; a cycle raises an error.
 """
 from __future__ import annotations
 
@@ -37,38 +38,49 @@ def unescape_role(role):
     return F.replace(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%3C"), F.lit("<")), F.lit("%25"), F.lit("%"))
 
 
-def paths(nodes: DataFrame, top_k: int = 1, max_rounds: int = 40) -> DataFrame:
-    """(conv_id, leaf, node, depth) of the chosen paths, from nodes (conv_id, node, parent, score)."""
-    step = cut(nodes.select("conv_id", "node", F.col("parent").alias("up"), F.lit(1).alias("depth"), F.col("score").cast("double").alias("total")))
-    steps = []
-    for _ in range(max_rounds):
-        if step.where("up is not null").isEmpty():
+def paths(nodes: DataFrame, top_k: int = 1) -> DataFrame:
+    """(_c, leaf, node, depth) of the chosen paths, from nodes (_c, node, parent, score); _c is the conversation.
+
+    Both the doubled pointers and the paths found so far are written out after each round, so every
+    round plans one join over tables.
+    """
+    step = cut(nodes.select("_c", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("total")))
+    steps, rounds, done = [], step.count().bit_length() + 1, step.where("up is null")
+    live = step.where("up is not null")
+    # round r lifts the pointers that have not reached their root 2 ** r nodes; no path is longer than the table
+    for _ in range(rounds):
+        if live.isEmpty():
             break
-        steps.append(step.select("conv_id", "node", "up"))
-        above = step.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        step = cut(step.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
+        steps.append(live.select("_c", "node", "up"))
+        above = done.unionByName(live).select("_c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        step = cut(live.join(above, ["_c", "up"], "left").select(
+            "_c", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
             (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")))
+        done, live = done.unionByName(step.where("up is null")), step.where("up is not null")
     else:
-        raise ValueError("a reply tree has a cycle, or is deeper than 2 ** max_rounds")
-    parents = nodes.select("conv_id", F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = step.join(parents, ["conv_id", "node"], "left_anti")
+        raise ValueError("a reply tree has a cycle")
+    step = done
+    parents = nodes.select("_c", F.col("parent").alias("node")).where("node is not null").distinct()
+    leaves = step.join(parents, ["_c", "node"], "left_anti")
     rank = F.struct((F.col("total") / F.col("depth")).alias("mean"), "depth", "node")
-    best = leaves.groupBy("conv_id").agg(F.max(rank).alias("b")) if top_k == 1 else leaves.select(
-        "conv_id", rank.alias("b"), F.row_number().over(Window.partitionBy("conv_id").orderBy(rank.desc())).alias("r")).where(f"r <= {top_k}")
-    on = best.select("conv_id", F.col("b.node").alias("leaf"), F.col("b.node").alias("node"))
+    best = leaves.groupBy("_c").agg(F.max(rank).alias("b")) if top_k == 1 else leaves.select(
+        "_c", rank.alias("b"), F.row_number().over(Window.partitionBy("_c").orderBy(rank.desc())).alias("r")).where(f"r <= {top_k}")
+    on = best.select("_c", F.col("b.node").alias("leaf"), F.col("b.node").alias("node"))
     for s in reversed(steps):  # nodes 2**k above those found so far
-        on = on.unionByName(on.join(s.where("up is not null"), ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node")))
-    return on.join(step.select("conv_id", "node", "depth"), ["conv_id", "node"])
+        on = cut(on)
+        on = on.unionByName(on.join(s, ["_c", "node"]).select("_c", "leaf", F.col("up").alias("node")))
+    return on.join(step.select("_c", "node", "depth"), ["_c", "node"])
 
 
 def format_chats(messages: DataFrame, top_k: int = 1) -> DataFrame:
     """(conv_id, leaf, formatted), one row per chosen path."""
-    found = paths(messages, top_k)
+    # equality of structs holds for nulls too, so messages without a conv_id are one conversation
+    m = messages.withColumn("_c", F.struct("conv_id"))
+    found = paths(m.select("_c", "node", "parent", "score"), top_k)
     turn = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"), escape(F.coalesce("text", F.lit(""))), F.lit(END + "\n"))
-    rows = found.join(messages.select("conv_id", "node", turn.alias("turn")), ["conv_id", "node"])
-    return rows.groupBy("conv_id", "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "turn"))).alias("t")).select(
-        "conv_id", "leaf", F.array_join("t.turn", "").alias("formatted"))
+    rows = found.join(m.select("_c", "node", turn.alias("turn")), ["_c", "node"])
+    return rows.groupBy("_c", "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "turn"))).alias("t")).select(
+        "_c.conv_id", "leaf", F.array_join("t.turn", "").alias("formatted"))
 
 
 def read_back(formatted):
@@ -83,7 +95,7 @@ def from_turns(conv: DataFrame) -> DataFrame:
     """Messages of a table (conv_id, turn, role, text): each row answers the row before it."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     m = conv.withColumn("node", F.row_number().over(w).cast("long"))
-    return m.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return cut(m.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")))
 
 
 def op1_chat(spark, sf_dir):
