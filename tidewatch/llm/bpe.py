@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct pre-tokens.
 
-Each block of documents is cut into pre-tokens; a block keeps the positions (indices into its own
-list of distinct pre-tokens) and sends one row per distinct pre-token. Every distinct pre-token of
-the corpus is encoded once, decoded once by joining the token-byte table, and joined back to the
-blocks, which reassemble their documents by position. A frequent word costs one row per block, not
-one per occurrence; joins on it are left to AQE's skew split.
-
-Null text counts as empty and gives 0 tokens; repeated rows give repeated rows; an empty table gives
-an empty one. Other columns of docs are ignored.
+Documents are cut into pre-tokens; each block of documents keeps their positions and sends its
+distinct pre-tokens, dealt by hash (blocks.py). The task of a bucket encodes every distinct
+pre-token of the corpus that hashes there once and answers every block; a block reassembles its
+documents by position. Decoding looks every id up in the token-byte table, which is broadcast: its
+size is that of the vocabulary.
+
+Null text counts as empty and gives 0 tokens; a null doc_id stays null; repeated rows give repeated
+rows; an empty table gives an empty one. A pre-token of any length is one item. Other columns of docs
+are ignored.
 """
 from __future__ import annotations
 
@@ -17,14 +18,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut
-
-#: Code points per block; bounds the memory of reassembly. One longer document is a block by itself.
-BLOCK_CHARS = 8_000_000
+from .blocks import ROWS, blocks, buckets, by_rank, dump, dump_ids, load, load_ids, starts
 
 
 def _pattern(pattern: str):
@@ -33,135 +30,104 @@ def _pattern(pattern: str):
     return regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
 
-def pack(ids: list, at: list) -> tuple[np.ndarray, bytes]:
-    """Order of the words by falling frequency, and ids, counts and positions in that order, compressed.
-
-    Low and high bytes lie apart, so frequent words leave the high ones nearly empty.
-    """
-    lens = np.array([len(a) for a in at], "<u4")
-    pos = np.concatenate(at) if at else np.zeros(0, "<u4")
-    count = np.bincount(pos) if len(pos) else np.zeros(0, np.int64)
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(order), "<u4")
-    rank[order] = np.arange(len(order), dtype="<u4")
-    planes = rank[pos].view("u1").reshape(-1, 4).T.tobytes()
-    return order, zlib.compress(np.array(ids, "<i8").tobytes() + lens.tobytes() + planes, 1)
-
-
-def unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, counts, positions) of n documents."""
-    raw = zlib.decompress(data)
-    planes = np.frombuffer(raw, "u1", -1, 12 * n)
-    pos = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-    return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n), pos
-
-
-def blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (block, k, word, payload): one per distinct word, and one with the documents' positions."""
-
-    def run(frames):
-        rx, part, n = _pattern(pattern), TaskContext.get().partitionId(), 0
-        seen, ids, at, chars = {}, [], [], 0
-
-        def flush():
-            name = (part << 32) + n
-            order, data = pack(ids, at)
-            yield pd.DataFrame({"block": name, "k": [len(ids)], "word": [None], "payload": [data]})
-            w = list(seen)
-            w = [w[i] for i in order]
-            for i in range(0, len(w), 50_000):
-                yield pd.DataFrame({"block": name, "k": range(i, i + len(w[i : i + 50_000])), "word": w[i : i + 50_000], "payload": None})
-
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                found = rx.findall(text or "")
-                ids.append(doc_id)
-                at.append(np.fromiter((seen.setdefault(w, len(seen)) for w in found), "<u4", len(found)))
-                chars += len(text or "")
-                if chars >= block_chars:
-                    yield from flush()
-                    n += 1
-                    seen, ids, at, chars = {}, [], [], 0
-        if ids:
-            yield from flush()
-
-    return docs.select("doc_id", "text").mapInPandas(run, "block long, k long, word string, payload binary")
-
-
-def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(word, ids): each distinct word once, without splitting it again."""
-    with open(ranks_path, "rb") as f:
-        raw = f.read()
-    ranks = words.sparkSession.sparkContext.broadcast(raw)
-
-    def run(frames):
-        import tiktoken
+def _ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.value.splitlines())}
-        enc = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})
-        for f in frames:
-            yield pd.DataFrame({"word": f["word"], "ids": [enc._encode_single_piece(w) for w in f["word"]]})
 
-    return words.mapInPandas(run, "word string, ids array<int>")
+def token_table(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, bytes): the token-byte table of a rank file; the bytes of id i lie from starts[i] to starts[i + 1]."""
+    of = {i: t for t, i in _ranks(raw).items()}
+    every = [of.get(i, b"") for i in range(max(of, default=-1) + 1)]
+    return starts(np.array([len(t) for t in every], np.int64)), np.frombuffer(b"".join(every), "u1")
 
 
-def token_bytes(spark, ranks_path: str) -> DataFrame:
-    """The token-byte table (id, bytes) of a rank file; its size is that of the vocabulary."""
-    with open(ranks_path, "rb") as f:
-        rows = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, f)]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "bytes"]), "id int, bytes binary")
+def _gather(start: np.ndarray, values: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The stretches numbered p of values, end to end."""
+    size = start[p + 1] - start[p]
+    return values[np.repeat(start[p] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-def decode_words(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(word, ids, bytes): the bytes of each word's ids in order, by a join with the token-byte table."""
-    tb = token_bytes(encoded.sparkSession, ranks_path)
-    parts = encoded.select("word", F.posexplode("ids").alias("p", "id")).join(F.broadcast(tb), "id")
-    rows = parts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("p", "id", "bytes"))).alias("l"))
-    return rows.select("word", F.col("l.id").alias("ids"), F.expr("aggregate(l.bytes, X'', (a, x) -> concat(a, x))").alias("bytes"))
+def _file(ranks_path: str) -> bytes:
+    with open(ranks_path, "rb") as f:
+        return f.read()
 
 
-def _flat(parts, kind: str):
-    """(start, length, values) of arrays laid end to end."""
-    parts = list(parts)
-    n = np.array([len(x) for x in parts], np.int64)
-    return np.cumsum(n) - n, n, np.concatenate(parts) if parts else np.zeros(0, kind)
+def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with with_ids)."""
+    n = buckets(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(_file(ranks_path))
+
+    def pack(words, ids, at):
+        order, lens, pos = by_rank(at, len(words))
+        words = [words[i].encode() for i in order]
+        bucket = np.fromiter((zlib.crc32(w) % n for w in words), "<u4", len(words))
+        yield -1, dump(*dump_ids(ids), lens, pos, bucket)
+        for b in np.unique(bucket):
+            own = [words[i] for i in np.flatnonzero(bucket == b)]
+            yield int(b), dump(np.array([len(w) for w in own], "<u4"), np.frombuffer(b"".join(own), "u1"))
+
+    cache: dict = {}
+
+    def answer(f: pd.DataFrame) -> pd.DataFrame:
+        if f["bucket"].iloc[0] < 0:
+            return f
+        if not cache:
+            import tiktoken
+
+            cache["enc"] = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=_ranks(shared.value), special_tokens={})
+        enc, known, out = cache["enc"]._encode_single_piece, {}, []
+        for data in f["data"]:
+            lens, raw = load(data)
+            raw, at, got = raw.tobytes(), starts(lens).tolist(), []
+            for a, b in zip(at, at[1:]):
+                w = raw[a:b]
+                if w not in known:
+                    known[w] = enc(w)
+                got.append(known[w])
+            out.append(dump(np.array([len(x) for x in got], "<u4"), np.array([i for x in got for i in x], "<u4")))
+        return f.assign(data=out)
+
+    def reassemble(f: pd.DataFrame) -> pd.DataFrame:
+        head = f["bucket"] < 0
+        value, null, lens, pos, bucket = load(f.loc[head, "data"].iloc[0])
+        own = f[~head].sort_values("bucket")
+        got = [load(d) for d in own["data"]]
+        # answers come by bucket, and by rank within it
+        place = np.empty(len(bucket), np.int64)
+        place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+        start = starts(np.concatenate([g[0] for g in got])) if got else np.zeros(1, np.int64)
+        tokens = np.concatenate([g[1] for g in got]) if got else np.zeros(0, "<u4")
+        if "table" not in cache:
+            cache["table"] = token_table(shared.value)
+        out, at = [], starts(lens)
+        for a, b in zip(at, at[1:]):
+            t = _gather(start, tokens, place[pos[a:b]])
+            out.append((len(t), hashlib.sha256(t.tobytes()).hexdigest(), hashlib.sha256(_gather(*cache["table"], t.astype(np.int64)).tobytes()).hexdigest(), t.astype("i4") if with_ids else None))
+        d = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        d.insert(0, "doc_id", pd.array(load_ids(value, null), "Int64"))
+        return d if with_ids else d.drop(columns="ids")
+
+    rx = _pattern(pattern)
+    rows = blocks(docs, rx.findall, pack)
+    rows = rows.groupBy("bucket").applyInPandas(answer, ROWS)
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return rows.groupBy("block").applyInPandas(reassemble, kind)
 
 
-def _gather(start, n, values, p):
-    """The arrays numbered p, end to end."""
-    size = n[p]
-    shift = start[p] - (np.cumsum(size) - size)
-    return values[np.repeat(shift, size) + np.arange(size.sum())]
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """encoded (..., ids array<int>) with the column decoded, the bytes of its ids; null ids give null."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_file(ranks_path))
 
+    def run(batches):
+        import pyarrow as pa
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with with_ids)."""
-    b = cut(blocks(docs, pattern))
-    distinct = b.where("word is not null").select("word").distinct()
-    coded = decode_words(encode_words(distinct, ranks_path), ranks_path)
-    rows = (
-        b.where("word is not null").select("block", "k", "word")
-        .join(coded, "word")
-        .select("block", "k", "ids", "bytes", F.lit(None).cast("binary").alias("payload"))
-        .unionByName(b.where("payload is not null").select("block", "k", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("binary").alias("bytes"), "payload"))
-    )
-
-    def join_up(f: pd.DataFrame) -> pd.DataFrame:
-        head = f["payload"].notna()
-        docs_, lens, pos = unpack(f.loc[head, "payload"].iloc[0], int(f.loc[head, "k"].iloc[0]))
-        f = f[~head].sort_values("k")
-        tokens, raw = _flat(f["ids"].map(lambda x: x.astype("<u4")), "<u4"), _flat(f["bytes"].map(lambda x: np.frombuffer(x, "u1")), "u1")
-        out, i = [], 0
-        for d, m in zip(docs_, lens):
-            p = pos[i : i + m]
-            i += m
-            t = _gather(*tokens, p)
-            row = (d, len(t), hashlib.sha256(t.tobytes()).hexdigest(), hashlib.sha256(_gather(*raw, p).tobytes()).hexdigest())
-            out.append(row + ((t.astype("i4").tolist(),) if with_ids else ()))
-        return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        start, values = token_table(shared.value)
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            out = [None if x.as_py() is None else _gather(start, values, np.asarray(x.values, np.int64)).tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.groupBy("block").applyInPandas(join_up, kind)
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def op10_byte_bpe(spark, sf_dir):
