@@ -1,15 +1,20 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Sources in code-point order, null last, weigh 1, 2, 3, 1, 2, 3, ... and share all words; a target
-stops at CAP times its source's size and the excess is shared again by weight. Documents are dealt
-by hash of (doc_id, text) into shards of about SHARD_DOCS documents of one source. A source's target is turned into
-whole blocks; Sainte-Lague gives every shard an integer quota (highest quotients size / (2 j + 1)),
-at most CAP times its blocks. A shard's words in seeded order are cut into equal blocks; whole
-rounds of the quota repeat all of them, the rest takes the blocks with the lowest seeded hash.
-
-Null or wordless texts have size 0 and are never taken. Equal rows stand one after the other and are
-separate. An empty table gives an empty one. The table of sources is collected: its size is that of
-the source list, and more than MAX_SOURCES of them raise an error.
+stops at CAP times its source's size and the excess is shared again by weight. The words to take are
+cut into equal blocks (seats) of BLOCK words, smaller where a target has few words; highest quotients
+give them to the sources, then those of a source to its shards, at most CAP times the size of each.
+A shard holds about SHARD_WORDS words of one source, by hash of (doc_id, text). Of every shard whole
+rounds of its quota take all texts; the rest takes the blocks of its texts with the lowest seeded
+hash, the last one in part.
+
+Equal rows are chosen alike, and count as often as they occur, so however many of them share a shard
+its quota holds to a word each. Only hashes and sizes are shuffled; the choice is applied to the
+texts where they lie, through one row per shard.
+
+Null or wordless texts have size 0 and are never taken. An empty table gives an empty one. A column
+of docs named like one of the computed columns is replaced by it. The list of sources is collected:
+it is as long as the mix has weights.
 """
 from __future__ import annotations
 
@@ -20,10 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import SEP, cut, table, words
 
-CAP = 3
-SHARD_DOCS = 4096
-BLOCK = 64
-MAX_SOURCES = 1_000_000
+CAP, BLOCK, SHARD_WORDS = 3, 64, 4_000_000
+COLUMNS = ("size", "source_size", "target", "rounds", "parts", "taken")
 
 
 def targets(sizes: list[float], weights: list[float], cap: float = CAP) -> list[float]:
@@ -69,46 +72,48 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     A row is taken rounds times whole; parts are the word ranges [f, t) of its chosen blocks besides.
     """
     spark = docs.sparkSession
-    d = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
-    per = d.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    docs = docs.drop(*COLUMNS)
+    d = docs.withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn("_k", F.xxhash64("doc_id", "text"))
+    kinds = cut(d.groupBy("source", "_k", "size").agg(F.count("*").alias("_m")))
+    per = kinds.groupBy("source").agg(F.sum(F.col("size") * F.col("_m")).alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     want = targets([r.n for r in per], [1 + i % 3 for i in range(len(per))])
+    seat = max(1, min(BLOCK, int(min((t for t in want if t > 0), default=0) // 256)))
+    seats = sainte_lague(want, round(sum(want) / seat), [CAP * r.n // seat for r in per]).tolist()
     info = spark.createDataFrame(
-        [(r.source, r.n, t, int(-(-r.rows // SHARD_DOCS))) for r, t in zip(per, want)],
-        "_s string, source_size long, target double, _shards int")
-    d = d.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    d = d.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.col("_shards")))
-    w = Window.partitionBy("source", "_shard").orderBy(F.xxhash64("doc_id", "text", F.lit(seed)), "doc_id", "text")
-    d = d.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    shards = d.groupBy("source", "_shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("all"))
+        [(r.source, r.n, t, -(-r.n // SHARD_WORDS) or 1, q) for r, t, q in zip(per, want, seats)],
+        "_s string, source_size long, target double, _shards long, _seats long")
+
+    def sharded(df):
+        j = df.join(info, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        return j.withColumn("_shard", F.pmod(F.xxhash64("_k", F.lit(seed + 1)), F.col("_shards")))
 
     def quotas(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("_shard")
-        n = np.where(f["words"] > 0, np.maximum(f["words"] // BLOCK, np.minimum(f["words"], BLOCK)), 0).astype(np.int64)
-        share = f["target"].iloc[0] / max(f["all"].iloc[0], 1)
-        q = sainte_lague(n, round(share * n.sum()), CAP * n)
-        return pd.DataFrame({"_q_source": f["source"], "_q_shard": f["_shard"], "_n": n, "_q": q, "_words": f["words"]})
-
-    q = cut(shards.groupBy("source").applyInPandas(quotas, "_q_source string, _q_shard long, _n long, _q long, _words long"))
-    d = d.join(q, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_shard") == F.col("_q_shard")), "left")
-    # chosen blocks of a shard: the lowest seeded hashes, as many as the quota leaves over; known by the last of them
-    hashed = f"xxhash64({{0}}, {{1}}, {{2}}, {seed + 2})"
-    blocks = q.where("_q % nullif(_n, 0) > 0").select("_q_source", "_q_shard", (F.col("_q") % F.col("_n")).alias("_m"), F.expr("explode(sequence(0L, _n - 1))").alias("b"))
-    order = F.struct(F.expr(hashed.format("_q_source", "_q_shard", "b")).alias("h"), "b")
-    w = Window.partitionBy("_q_source", "_q_shard").orderBy("_o")
-    last = blocks.withColumn("_o", order).withColumn("r", F.row_number().over(w)).where("r = _m")
-    d = d.join(last.select(F.col("_q_source").alias("_c_source"), F.col("_q_shard").alias("_c_shard"), F.col("_o").alias("_last")),
-               F.col("source").eqNullSafe(F.col("_c_source")) & (F.col("_shard") == F.col("_c_shard")), "left")
-    # block b covers words [b * words div n, (b + 1) * words div n); a document's blocks are _b0 to _b1
-    d = d.withColumn("_b0", F.expr("((_end - size + 1) * _n - 1) div nullif(_words, 0)")).withColumn("_b1", F.expr("(_end * _n - 1) div nullif(_words, 0)"))
-    h = lambda b: f"named_struct('h', {hashed.format('source', '_shard', b)}, 'b', {b}) <= _last"
-    # chosen blocks that follow each other are one range: from a block without a chosen one before it to one without a chosen one after it
-    parts = F.expr(f"""if(size = 0 or _last is null, cast(array() as array<struct<f:bigint,t:bigint>>), zip_with(
-        filter(sequence(_b0, _b1), b -> {h('b')} and (b = _b0 or not ({h('b - 1')}))),
-        filter(sequence(_b0, _b1), b -> {h('b')} and (b = _b1 or not ({h('b + 1')}))),
-        (x, y) -> named_struct('f', greatest(0L, x * _words div _n - _end + size), 't', least(size, (y + 1) * _words div _n - _end + size))))""")
-    d = d.withColumn("rounds", F.expr("if(size = 0, 0L, _q div nullif(_n, 0))")).withColumn("parts", parts)
+        q = sainte_lague(f["_words"], int(f["_seats"].iloc[0]), CAP * f["_words"] // seat)
+        return pd.DataFrame({"_q_source": f["source"], "_q_shard": f["_shard"], "_words": f["_words"], "_take": q * seat})
+
+    of = sharded(kinds).where("size > 0")
+    shards = of.groupBy("source", "_shard").agg(F.sum(F.col("size") * F.col("_m")).alias("_words"), F.first("_seats").alias("_seats"))
+    q = shards.groupBy("source").applyInPandas(quotas, "_q_source string, _q_shard long, _words long, _take long")
+    # block j of nb covers words [j * size div nb, (j + 1) * size div nb) of its text
+    of = of.withColumn("_nb", F.ceil(F.col("size") / BLOCK)).withColumn("j", F.explode(F.expr("sequence(0L, _nb - 1)")))
+    of = of.select("source", "_shard", F.expr(f"xxhash64(_k, j, {seed + 2}L)").alias("_u"), "_k", "j", "_m", F.expr("_m * ((j + 1) * size div _nb - j * size div _nb)").alias("_w"))
+    w = Window.partitionBy("source", "_shard").orderBy("_u", "_k", "j").rowsBetween(Window.unboundedPreceding, 0)
+    of = of.withColumn("_upto", F.sum("_w").over(w)).join(q, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_shard") == F.col("_q_shard")))
+    # a row per shard: its rounds, and the block at which the rest of its quota ends, taken for _x words
+    last = of.withColumn("_rest", F.expr("_take % _words")).where("_upto - _w <= _rest and _rest < _upto")
+    last = cut(last.select("_q_source", "_q_shard", F.expr("_take div _words").alias("_rounds"), "_u", F.expr("(_rest - _upto + _w) div _m").alias("_x")))
+
+    d = sharded(d).join(last, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_shard") == F.col("_q_shard")), "left")
+    d = d.withColumn("_nb", F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1).cast("long")))
+    u = lambda b: f"xxhash64(_k, {b}, {seed + 2}L)"
+    chosen = lambda b: f"({u(b)} < _u or ({u(b)} = _u and _x > 0))"
+    # chosen blocks that follow each other are one range; a block taken in part ends its range
+    parts = F.expr(f"""if(size = 0 or _u is null, cast(array() as array<struct<f:bigint,t:bigint>>), zip_with(
+        filter(sequence(0L, _nb - 1), b -> {chosen('b')} and (b = 0 or not {chosen('b - 1')} or {u('b - 1')} = _u)),
+        filter(sequence(0L, _nb - 1), b -> {chosen('b')} and (b = _nb - 1 or not {chosen('b + 1')} or {u('b')} = _u)),
+        (x, y) -> named_struct('f', x * size div _nb, 't', if({u('y')} = _u, y * size div _nb + _x, (y + 1) * size div _nb))))""")
+    d = d.withColumn("rounds", F.expr("if(size = 0, 0L, coalesce(_rounds, 0L))")).withColumn("parts", parts)
     taken = F.expr("size * rounds + aggregate(parts, 0L, (a, x) -> a + x.t - x.f)")
     return d.select(*docs.columns, "size", "source_size", "target", "rounds", "parts", taken.alias("taken"))
 
