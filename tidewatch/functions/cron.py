@@ -1,49 +1,51 @@
 """Cron expressions: a parser for the few distinct schedules, and their occurrences as a plan."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import schedule
+
 # fixed values: macros and names of the crontab language
 MACROS = {
     "@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0",
     "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *",
 }
+UNTIMED = ("@reboot",)
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 DAYS = "sun mon tue wed thu fri sat".split()
-MAX_FIRINGS = 200_000
+MAX_FIRINGS = schedule.MAX_FIRINGS
 
 SCHEMA = "minutes array<int>, hours array<int>, doms array<int>, months array<int>, dows array<int>, dom_star boolean, dow_star boolean"
-
-
-def _number(text: str, names: list[str], first: int) -> int:
-    return names.index(text.lower()) + first if text.lower() in names else int(text)
+_ITEM = re.compile(r"(?:\*|(?P<from>[0-9]+|[a-z]+)(?:-(?P<to>[0-9]+|[a-z]+))?)(?:/(?P<step>[0-9]+))?", re.IGNORECASE)
 
 
 def field(text: str, low: int, high: int, names=(), first: int = 0) -> list[int]:
-    """Values of one field; ValueError where it is malformed, inverted or out of range."""
-    out = set()
+    """Values of one field: items `*`, `a` or `a-b`, each with `/step`, joined by commas; ValueError else."""
+    of = {n: k for k, n in enumerate(names, first)} | {str(k).zfill(w): k for k in range(low, high + 1) for w in (1, 2)}
+    out: set[int] = set()
     for item in text.split(","):
-        body, slash, step = item.partition("/")
-        by = int(step) if slash else 1
-        if by < 1:
-            raise ValueError(f"step below 1 in {item!r}")
-        if body == "*":
-            a, b = low, high
-        elif "-" in body:
-            a, b = (_number(x, list(names), first) for x in body.split("-", 1))
-        else:
-            a = _number(body, list(names), first)
-            b = high if slash else a
-        if not low <= a <= b <= high:
-            raise ValueError(f"{item!r} is inverted or outside {low}-{high}")
-        out.update(range(a, b + 1, by))
+        m = _ITEM.fullmatch(item)
+        ends = [x.lower() for x in (m["from"], m["to"]) if x] if m else ["?"]
+        values = [of.get(x if x.isalpha() else str(int(x))) if x.isalnum() else None for x in ends]
+        if None in values or m["step"] and int(m["step"]) == 0:
+            raise ValueError(f"{item!r} is no item of a field from {low} to {high}")
+        start = values[0] if values else low
+        # a step without an end runs to the last value
+        stop = values[-1] if values and (m["to"] or not m["step"]) else high
+        if start > stop:
+            raise ValueError(f"{item!r} ends before it starts")
+        out |= set(range(start, stop + 1, int(m["step"] or 1)))
     return sorted(out)
 
 
 def parse(expr: str) -> tuple:
     """The columns of SCHEMA; Sunday is 0. @reboot has no predictable time and raises."""
     parts = MACROS.get(expr.strip().lower(), expr).split()
+    if expr.strip().lower() in UNTIMED:
+        raise ValueError(f"{expr.strip()} has no predictable time")
     if len(parts) != 5:
         raise ValueError(f"not five fields or a known macro: {expr!r}")
     mi, ho, dm, mo, dw = parts
@@ -51,16 +53,14 @@ def parse(expr: str) -> tuple:
             sorted({d % 7 for d in field(dw, 0, 7, DAYS)}), dm.startswith("*"), dw.startswith("*"))
 
 
-def occurrences(schedules: DataFrame, start: str, end: str) -> DataFrame:
-    """(job_id, ts) of schedules (job_id, *SCHEMA) in the closed window; hours and minutes multiply out after the day filter.
+def common(expr: str) -> tuple:
+    """The columns of schedule.SCHEMA."""
+    mi, ho, dm, mo, dw, dm_star, dw_star = parse(expr)
+    return ho, mi, [0], dm, mo, None, dw, not (dm_star or dw_star)
+
 
-    Schedules whose potential firings exceed MAX_FIRINGS are to be refused by the caller.
-    """
-    s, e = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
-    d = schedules.where(s <= e).withColumn("day", F.explode(F.sequence(F.to_date(s), F.greatest(F.to_date(e), F.to_date(s)))))
-    dom, dow = F.expr("array_contains(doms, day(day))"), F.expr("array_contains(dows, dayofweek(day) - 1)")
-    star = F.col("dom_star") | F.col("dow_star")
-    d = d.where(F.expr("array_contains(months, month(day))") & F.when(star, dom & dow).otherwise(dom | dow))
-    d = d.select("job_id", "day", F.explode("hours").alias("h"), "minutes").select("job_id", "day", "h", F.explode("minutes").alias("m"))
-    ts = F.expr("make_timestamp_ntz(year(day), month(day), day(day), h, m, 0)")
-    return d.select("job_id", ts.alias("ts")).where(F.col("ts").between(s, e)).distinct()
+def occurrences(schedules: DataFrame, start: str, end: str) -> DataFrame:
+    """(job_id, ts) of schedules (job_id, *SCHEMA) in the closed window; see schedule.expand."""
+    s = schedules.select("job_id", "hours", "minutes", F.array(F.lit(0)).alias("seconds"), "doms", "months",
+                         F.lit(None).cast("array<int>").alias("years"), "dows", (~(F.col("dom_star") | F.col("dow_star"))).alias("either"))
+    return schedule.expand(s, start, end)

@@ -1,19 +1,33 @@
-"""Detectors: missed occurrences, overlapping runs, failed runs."""
+"""Detectors: missed occurrences, overlapping runs, failed runs and units."""
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width of the time buckets in which overlapping runs meet.
+BUCKET_S = 86_400
+#: Clusters of at most so many (occurrence, run) pairs are matched by expressions.
+SMALL = 1024
 
-def overlaps(runs):
+
+def _seconds(col):
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col)
+
+
+def overlaps(runs: DataFrame) -> DataFrame:
     """Every pair of runs of one job in which the earlier one ends strictly after the later one starts.
 
-    A run without an end can be covered but covers nothing.
+    A run without an end can be covered but covers nothing. Runs meet in the bucket of the later one's
+    start, so a job's runs are compared within a bucket and with the runs that reach into it.
     """
-    p = runs.select("job_id", *[F.col(c).alias("p_" + c) for c in ("start", "end", "ord")]).where("p_end is not null")
-    c = runs.select("job_id", *[F.col(c).alias("c_" + c) for c in ("start", "end", "ord")])
+    p = runs.select("job_id", *[F.col(c).alias("p_" + c) for c in ("start", "end", "ord")]).where("p_end > p_start")
+    bucket = lambda c: F.floor(_seconds(F.col(c)) / BUCKET_S)
+    p = p.withColumn("bucket", F.explode(F.sequence(bucket("p_start"), bucket("p_end"))))
+    c = runs.select("job_id", *[F.col(c).alias("c_" + c) for c in ("start", "end", "ord")]).withColumn("bucket", bucket("c_start"))
     before = F.struct("p_start", "p_end", "p_ord") < F.struct("c_start", F.coalesce("c_end", "c_start"), "c_ord")
-    out = p.join(c, "job_id").where((F.col("p_end") > F.col("c_start")) & before)
+    out = p.join(c, ["job_id", "bucket"]).where((F.col("p_end") > F.col("c_start")) & before).drop("bucket")
     return out.withColumn("overlap_s", F.timestamp_diff("SECOND", "c_start", F.least("p_end", F.coalesce("c_end", "p_end"))))
 
 
@@ -22,31 +36,71 @@ def run_failed(result, exit_code):
     return F.when(F.coalesce(result, F.lit("")) != "", result != "success").otherwise(F.coalesce(exit_code != 0, F.lit(False)))
 
 
-def missed(occurrences, runs, tolerance_s: float):
-    """Occurrences (job_id, ts) that no run claims.
+def _unclaimed(occ, runs, tol: int) -> list[int]:
+    """The occurrences that find no free run; both ascend, and only runs within tol are looked at."""
+    occ, runs = np.asarray(occ, np.int64), np.asarray(runs, np.int64)
+    free, lost = np.ones(len(runs), bool), []
+    for t, lo, hi in zip(occ, np.searchsorted(runs, occ - tol), np.searchsorted(runs, occ + tol, "right")):
+        near = np.flatnonzero(free[lo:hi])
+        if len(near):
+            free[lo + near[np.argmin(np.abs(runs[lo:hi][near] - t))]] = False
+        else:
+            lost.append(int(t))
+    return lost
+
+
+def missed(occurrences: DataFrame, runs: DataFrame, tolerance_s) -> DataFrame:
+    """Occurrences (job_id, ts) that no run claims; tolerance_s is a number, or a column of occurrences.
 
     Occurrences ascend and each takes the unclaimed run with the least distance within tolerance,
-    the earlier on a tie. Occurrences no more than twice the tolerance apart form a cluster, and a
-    run can serve one cluster only, so the fold is exact per cluster and its state stays small.
+    the earlier on a tie. Occurrences and runs of a job more than the tolerance apart in time cannot
+    meet, so a job's timeline is cut there into clusters, each matched by itself.
     """
     us = lambda col: F.unix_micros(col.cast("timestamp"))
-    tol = int(tolerance_s * 1_000_000)
+    tol = (F.lit(tolerance_s) if not isinstance(tolerance_s, F.Column) else tolerance_s) * 1_000_000
+    occ = occurrences.select("job_id", us(F.col("ts")).alias("t"), tol.cast("long").alias("tol")).distinct()
+    both = occ.withColumn("due", F.lit(True)).unionByName(
+        runs.select("job_id", us(F.col("start")).alias("t"), F.lit(None).cast("long").alias("tol"), F.lit(False).alias("due")))
     w = Window.partitionBy("job_id").orderBy("t")
-    occ = occurrences.select("job_id", "ts", us(F.col("ts")).alias("t")).distinct()
-    occ = occ.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > 2 * tol).cast("long"), F.lit(1)))
-    occ = occ.withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = occ.groupBy("job_id", "cluster").agg(
-        F.array_sort(F.collect_list("t")).alias("occ"), (F.min("t") - tol).alias("lo"), (F.max("t") + tol).alias("hi"))
-    r = runs.select("job_id", us(F.col("start")).alias("s"))
-    got = spans.join(r, "job_id", "left").where("s is null or s between lo and hi").groupBy("job_id", "cluster").agg(
-        F.array_sort(F.collect_list("s")).alias("runs"))
-    c = spans.join(got, ["job_id", "cluster"], "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<long>")))
-    c = c.withColumn("missed", F.expr(f"""aggregate(occ,
+    both = both.withColumn("tol", F.max("tol").over(Window.partitionBy("job_id"))).where("tol is not null")
+    both = both.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > F.col("tol")).cast("long"), F.lit(1)))
+    both = both.withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = both.groupBy("job_id", "cluster").agg(
+        F.array_sort(F.collect_list(F.when(F.col("due"), F.col("t")))).alias("occ"), F.array_sort(F.collect_list(F.when(~F.col("due"), F.col("t")))).alias("runs"), F.first("tol").alias("tol"))
+    c = c.where("size(occ) > 0")
+    small = F.expr("""aggregate(occ,
         named_struct('used', cast(array() as array<int>), 'out', cast(array() as array<bigint>)),
         (acc, e) -> transform(array(array_min(filter(
             transform(runs, (r, i) -> named_struct('d', abs(r - e), 'i', i)),
-            x -> x.d <= {tol} and not array_contains(acc.used, x.i)))),
+            x -> x.d <= tol and not array_contains(acc.used, x.i)))),
           b -> named_struct('used', if(b is null, acc.used, array_append(acc.used, b.i)),
-                            'out', if(b is null, array_append(acc.out, e), acc.out)))[0]).out"""))
-    return c.select("job_id", F.explode("missed").alias("t")).select(
-        "job_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
+                            'out', if(b is null, array_append(acc.out, e), acc.out)))[0]).out""")
+
+    @F.pandas_udf("array<bigint>")
+    def large(o: pd.Series, r: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([_unclaimed(*x) for x in zip(o, r, t)], dtype=object)
+
+    fits = F.size("occ") * F.size("runs") <= SMALL
+    lost = c.where(fits).select("job_id", small.alias("m")).unionByName(c.where(~fits).select("job_id", large("occ", "runs", "tol").alias("m")))
+    return lost.select("job_id", F.explode("m").alias("t")).select("job_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
+
+
+def failures(runs: DataFrame, states: DataFrame, near_s: int = 5) -> DataFrame:
+    """(job_id, evidence, when, started, exit_code, result): failed runs, and failed states that no run's end tells of.
+
+    runs: job_id, start, end, exit_code, result. states: job_id, failed, exited (null where unknown),
+    exit_code, result. A state within near_s of a failed run's end is the same failure.
+    """
+    bad = runs.where(run_failed(F.col("result"), F.col("exit_code")))
+    seen = bad.select("job_id", F.lit("journalctl").alias("evidence"), F.coalesce("end", "start").alias("when"), F.col("start").alias("started"), "exit_code", "result")
+    ends = seen.select(F.col("job_id").alias("_j"), F.col("when").alias("_at"))
+    close = (F.col("job_id") == F.col("_j")) & (F.abs(F.timestamp_diff("MICROSECOND", "exited", "_at")) <= near_s * 1_000_000)
+    standing = states.where("failed").join(ends, close, "left_anti")
+    return seen.unionByName(standing.select("job_id", F.lit("systemctl show").alias("evidence"), F.col("exited").alias("when"),
+                                            F.lit(None).cast("timestamp_ntz").alias("started"), "exit_code", "result"))
+
+
+def in_window(runs: DataFrame, start, end, tolerance_s) -> DataFrame:
+    """Runs that start from tolerance_s before the window to its end."""
+    s, e = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+    return runs.where((F.timestamp_diff("MICROSECOND", F.col("start"), s) <= tolerance_s * 1_000_000) & (F.col("start") <= e))

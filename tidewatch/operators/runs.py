@@ -1,91 +1,111 @@
-"""Runs from ordered events: cron sessions, and start and finish events of units."""
-from __future__ import annotations
+"""Runs from ordered events: cron commands closed by their sessions, and start and end events of units.
 
-import pandas as pd
+The merged stream is ordered by (ts, source, line), within a `scan` (one machine, say) where the
+tables have that column.
+"""
+from __future__ import annotations
 
-NEAR = pd.Timedelta(seconds=5)
+from collections import deque
 
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-def pair_sessions(commands, sessions):
-    """(source, lineno, user, command, start, end) of cron_commands, each closed by its session.
+NEAR_S = 5
 
-    A command claims the session open under its own pid, else the newest unclaimed session its user
-    has opened at most NEAR before. A session serves one command; without one the end is null. The
-    fold keeps the open sessions of a source only.
-    """
-    from pyspark.sql import functions as F
 
-    c = commands.select("source", "lineno", "ts", "pid", F.lit("run").alias("action"), "user", "command")
-    s = sessions.select("source", "lineno", "ts", "pid", "action", "user", F.lit(None).cast("string").alias("command"))
+def _placed(df: DataFrame) -> DataFrame:
+    """df with scan and at, its place in the merged stream."""
+    d = df if "scan" in df.columns else df.withColumn("scan", F.lit(0))
+    return d.withColumn("at", F.struct("ts", (F.col("src") if "src" in df.columns else F.col("source")).alias("src"), "lineno"))
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        runs, live = [], {}
-        for r in f.sort_values(["ts", "lineno"], kind="stable").itertuples(index=False):
-            if r.action == "opened":
-                live.pop(r.pid, None)
-                live[r.pid] = {"at": r.ts, "user": r.user, "run": None}
-            elif r.action == "closed":
-                was = live.pop(r.pid, None)
-                if was and was["run"] is not None and runs[was["run"]][5] is None:
-                    runs[was["run"]][5] = r.ts
-            else:
-                mine = None if pd.isna(r.pid) else live.get(r.pid)
-                if mine is None or mine["run"] is not None:
-                    able = [x for x in live.values() if x["run"] is None and x["user"] == r.user and x["at"] <= r.ts <= x["at"] + NEAR]
-                    mine = max(able, key=lambda x: x["at"], default=None)
-                if mine is not None:
-                    mine["run"] = len(runs)
-                runs.append([r.source, r.lineno, r.user, r.command, r.ts, None])
-        out = pd.DataFrame(runs, columns=["source", "lineno", "user", "command", "start", "end"])
-        return out.astype({"start": "datetime64[us]", "end": "datetime64[us]"})
 
-    kind = "source string, lineno long, user string, command string, start timestamp_ntz, end timestamp_ntz"
-    return c.unionByName(s).groupBy("source").applyInPandas(fold, kind)
+def pair_sessions(commands: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(scan, source, lineno, pid, user, command, start, end) of cron commands, each closed by its session.
 
+    A session lasts from its opening to the next session line of its pid, in whatever file that is. A
+    command prefers the session of its own pid, then those its user opened at most NEAR_S before, the
+    newest first. Sessions serve one command each, earlier commands choose first: commands whose
+    choices can touch are settled together, the others by themselves. Without a session the end is null.
+    """
+    by_pid = Window.partitionBy("scan", "pid").orderBy("at")
+    s = _placed(sessions).withColumn("gone", F.lead("at").over(by_pid)).withColumn("next", F.lead("action").over(by_pid))
+    s = s.where("action = 'opened'").select("scan", F.col("pid").alias("s_pid"), F.col("user").alias("s_user"), F.col("ts").alias("opened"), F.col("at").alias("open"), "gone",
+                                            F.when(F.col("next") == "closed", F.col("gone.ts")).alias("end"))
+    c = _placed(commands)
+    sec = lambda x: F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), x)
+    live = (F.col("open") < F.col("at")) & (F.col("gone").isNull() | (F.col("at") < F.col("gone")))
+    key = c.select("scan", "at", "pid", "user", F.floor(sec(F.col("ts")) / NEAR_S).alias("slot"), "ts")
+    mine = key.join(s.withColumnRenamed("s_pid", "pid"), ["scan", "pid"]).where(live).select("scan", "at", F.lit(0).alias("far"), "open", "end", "opened")
+    # a session can be near in the slot of its opening and in the next one
+    near = s.withColumn("slot", F.explode(F.array(F.floor(sec(F.col("opened")) / NEAR_S), F.floor(sec(F.col("opened")) / NEAR_S) + 1))).withColumnRenamed("s_user", "user")
+    near = key.drop("pid").join(near, ["scan", "user", "slot"]).where(live & (F.timestamp_diff("SECOND", "opened", "ts").between(0, NEAR_S)))
+    near = near.select("scan", "at", F.lit(1).alias("far"), "open", "end", "opened")
+    wish = F.struct("far", (-sec(F.col("opened"))).alias("age"), "open", "end")
+    wishes = mine.unionByName(near).groupBy("scan", "at").agg(F.array_sort(F.collect_list(wish)).alias("wishes"), F.min("open").alias("lo"))
+    # commands are settled together from the earliest session any of them or a later one may choose
+    back = Window.partitionBy("scan").orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    w = Window.partitionBy("scan").orderBy("at")
+    d = wishes.withColumn("least", F.min("lo").over(back)).withColumn("cut", F.coalesce((F.col("least") > F.lag("at").over(w)).cast("int"), F.lit(1)))
+    d = d.withColumn("island", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    island = d.groupBy("scan", "island").agg(F.array_sort(F.collect_list(F.struct("at", "wishes"))).alias("cs"))
+    none = "filter(array(cs[0].wishes[0]), x -> false)"
+    settled = island.withColumn("got", F.expr(f"""aggregate(cs, named_struct('taken', transform({none}, x -> x.open), 'out', transform({none}, x -> named_struct('at', cs[0].at, 'end', x.end))),
+        (a, c) -> transform(array(get(filter(c.wishes, w -> not array_contains(a.taken, w.open)), 0)),
+          w -> named_struct('taken', if(w is null, a.taken, array_append(a.taken, w.open)),
+                            'out', if(w is null, a.out, array_append(a.out, named_struct('at', c.at, 'end', w.end)))))[0]).out"""))
+    ends = settled.select("scan", F.explode("got").alias("g")).select("scan", "g.at", "g.end")
+    return c.join(ends, ["scan", "at"], "left").select("scan", "source", "lineno", "pid", "user", "command", F.col("ts").alias("start"), "end")
 
-def unit_runs(events):
-    """(unit, start, end, exit_code, result) from unit_events (unit, ts, lineno, kind, exit_code, result).
 
-    A start opens a run, and `started` confirms the oldest waiting one or opens one. An ending event
-    adds detail to the run that ended at most NEAR before, where no run is open or it has news; else
-    it ends the oldest open run, or stands as a run of no length.
-    """
-    def detail(run, e):
-        if run["exit_code"] is None and not pd.isna(e.exit_code):
-            run["exit_code"] = int(e.exit_code)
-        if e.result and run["result"] in (None, "success"):
-            run["result"] = e.result
-        elif e.kind == "finish" and run["result"] is None and run["exit_code"] in (None, 0):
-            run["result"] = "success"
+def _assign(f: pd.DataFrame) -> pd.DataFrame:
+    """Numbers the runs of one unit and gives every event the run it speaks of, 0 for none."""
+    f = f.sort_values(["ts", "src", "lineno"], kind="stable")
+    live, unready, run, last = deque(), deque(), [], None
+    n = 0  # runs so far; last: [number, time, exit code known, verdict other than success] of the run that ended last
+    for e in f.itertuples(index=False):
+        coded, verdict = not pd.isna(e.exit_code), e.result if isinstance(e.result, str) else None
+        if e.kind == "started" and unready:
+            unready.popleft()
+            run.append(0)
+        elif e.kind in ("start", "started"):
+            n += 1
+            live.append(n)
+            unready.extend([n] * (e.kind == "start"))
+            run.append(n)
+        else:
+            news = last and (not last[2] if coded else not last[3] if verdict else True)
+            if not (last and (e.ts - last[1]).total_seconds() <= NEAR_S and (news or not live)):
+                if not live:
+                    n += 1
+                last = [live.popleft() if live else n, e.ts, False, False]
+                if unready and unready[0] == last[0]:
+                    unready.popleft()
+            last = [last[0], e.ts, last[2] or coded, last[3] or verdict not in (None, "success")]
+            run.append(last[0])
+    return f.assign(run=run)
 
-    def news(run, e):
-        return (run["exit_code"] is None and not pd.isna(e.exit_code)) or bool(e.result and run["result"] in (None, "success") and e.result != run["result"])
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        runs, live, waiting, last = [], [], [], None
-        for e in f.sort_values(["ts", "lineno"], kind="stable").itertuples(index=False):
-            if e.kind == "started" and waiting:
-                waiting.pop(0)
-            elif e.kind in ("start", "started"):
-                run = {"unit": e.unit, "start": e.ts, "end": None, "exit_code": None, "result": None}
-                runs.append(run)
-                live.append(run)
-                if e.kind == "start":
-                    waiting.append(run)
-            else:
-                if last is not None and e.ts - last["end"] <= NEAR and (not live or news(last, e)):
-                    detail(last, e)
-                    continue
-                if live:
-                    last = live.pop(0)
-                    waiting = [x for x in waiting if x is not last]
-                else:
-                    last = {"unit": e.unit, "start": e.ts, "end": None, "exit_code": None, "result": None}
-                    runs.append(last)
-                last["end"] = e.ts
-                detail(last, e)
-        out = pd.DataFrame(runs, columns=["unit", "start", "end", "exit_code", "result"])
-        return out.astype({"start": "datetime64[us]", "end": "datetime64[us]", "exit_code": "Int64"})
+def unit_runs(events: DataFrame) -> DataFrame:
+    """(scan, unit, start, end, exit_code, result) from unit_events (unit, ts, lineno, kind, exit_code, result).
 
-    kind = "unit string, start timestamp_ntz, end timestamp_ntz, exit_code int, result string"
-    return events.where("unit is not null").select("unit", "ts", "lineno", "kind", "exit_code", "result").groupBy("unit").applyInPandas(fold, kind)
+    A start opens a run; `started` confirms the oldest unconfirmed one or opens one. An ending event
+    belongs to the run that ended at most NEAR_S before, where no run is open or it tells something new;
+    else it ends the oldest open run, or is a run without length. A run ends with its last ending event,
+    has the first exit code given, and the first verdict other than success; success is implied by a
+    finish without a failing exit code before it. The events of one unit of a scan are one group.
+    """
+    d = _placed(events.where("unit is not null").withColumn("source", F.col("source") if "source" in events.columns else F.lit("")))
+    d = d.select("scan", "unit", "ts", F.col("at.src").cast("string").alias("src") if "src" not in events.columns else F.col("src"), "lineno", "kind", "exit_code", "result")
+    kind = StructType([*d.schema.fields, StructField("run", LongType())])
+    d = d.groupBy("scan", "unit").applyInPandas(_assign, kind).where("run > 0")
+    at, ends = F.struct("ts", "src", "lineno"), F.col("kind").isin("finish", "fail")
+    coded = F.when(F.col("exit_code").isNotNull(), at)
+    r = d.groupBy("scan", "unit", "run").agg(
+        F.min("ts").alias("start"), F.max(F.when(ends, F.col("ts"))).alias("end"), F.min_by("exit_code", coded).alias("exit_code"), F.min(coded).alias("_coded"),
+        F.min_by("result", F.when(F.col("result") != "success", at)).alias("_bad"), F.max(F.coalesce(F.col("result") == "success", F.lit(False))).alias("_good"),
+        F.min(F.when(F.col("kind") == "finish", at)).alias("_finish"))
+    fine = F.col("_finish").isNotNull() & (F.col("exit_code").isNull() | (F.col("exit_code") == 0) | (F.col("_finish") < F.col("_coded")))
+    result = F.coalesce("_bad", F.when(F.col("_good") | F.coalesce(fine, F.lit(False)), "success"))
+    return r.select("scan", "unit", "start", "end", "exit_code", result.alias("result"))
