@@ -9,7 +9,7 @@ def test_system_crontab(spark):
     text = ["# note", "", "SHELL=/bin/sh", "CRON_TZ = UTC", "*/5 *  * * *\troot  run  it # now", "@Daily bob tidy up", "@never bob x", "1 2 3 4 5 bob", None]
     got = {r.lineno: r for r in crontab.parse(rows(spark, text), True).collect()}
     assert sorted(got) == [4, 5, 6, 7, 8] and all(got[i].problem for i in (4, 7, 8))
-    assert got[5][2:5] == ("*/5 * * * *", "root", "run  it # now") and got[6][2:5] == ("@daily", "bob", "tidy up")
+    assert got[5][2:5] == ("*/5 * * * *", "root", "run it # now") and got[6][2:5] == ("@daily", "bob", "tidy up")
 
 
 def test_user_crontab_and_merge(spark, tmp_path):
