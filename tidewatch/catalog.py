@@ -4,12 +4,14 @@ The `events` table stands for runs: user_id is the job, ts the start, and int(va
 """
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import cron
-from .operators import detect
-from .plans import surrogate
-from .sources import logs
+from .functions import calendar, cron, schedule
+from .functions.text import duration
+from .operators import detect, runs as runs_
+from .plans import scan, surrogate
+from .sources import crontab, logs, units
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -58,14 +60,18 @@ def cron_occurrences(spark, sf_dir):
 
 
 @query("missed_hours", """
-WITH o AS (SELECT DISTINCT user_id AS job, t FROM events, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-07', INTERVAL 1 HOUR) s(t))
+WITH b AS (SELECT min(date_trunc('hour', ts)) AS lo, max(date_trunc('hour', ts)) AS hi FROM events),
+o AS (SELECT DISTINCT user_id AS job, t FROM events, b, generate_series(b.lo, b.hi, INTERVAL 1 HOUR) s(t))
 SELECT job, CAST(t AS TIMESTAMP) AS due FROM o WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = o.job
  AND date_trunc('second', e.ts) BETWEEN o.t - INTERVAL 120 SECOND AND o.t + INTERVAL 120 SECOND)""")
 def missed_hours(spark, sf_dir):
     r = surrogate.runs(spark, sf_dir)
-    hourly = cron.parse("@hourly")
-    one = spark.createDataFrame([(0, *hourly)], "job_id int, " + cron.SCHEMA)
-    due = r.select("job_id").distinct().join(F.broadcast(cron.occurrences(one, "2024-01-01 00:00:00", "2024-01-07 00:00:00").select("ts")))
+    lo, hi = r.agg(F.date_trunc("hour", F.min("start")).cast("timestamp_ntz"), F.date_trunc("hour", F.max("start")).cast("timestamp_ntz")).first()
+    # every job has the schedule, so each is expanded by itself and nothing is crossed
+    plan = dict(zip([c.split()[0] for c in schedule.SCHEMA.split(", ")], cron.common("@hourly")))
+    kind = {c.split()[0]: c.split()[1] for c in schedule.SCHEMA.split(", ")}
+    jobs = r.select("job_id").distinct().select("job_id", *[F.lit(v).cast(kind[k]).alias(k) for k, v in plan.items()])
+    due = schedule.expand(jobs, str(lo), str(hi))
     return detect.missed(due, r, 120).select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
 
 
@@ -89,3 +95,238 @@ def log_cron_iso(spark, sf_dir):
 def log_cron_yearless(spark, sf_dir):
     lines = _as_log(spark, sf_dir, "MMM d HH:mm:ss")
     return logs.cron_commands(logs.parse(lines, "2024-12-31 00:00:00")).select("user", "command", F.col("ts").alias("start"))
+
+
+@query("calendar_occurrences", """
+SELECT 1 AS job, CAST(t AS TIMESTAMP) AS due FROM generate_series(TIMESTAMP '2024-01-01 09:30', TIMESTAMP '2024-03-31 23:00', INTERVAL 1 DAY) s(t) WHERE dayofweek(t) IN (5, 6, 0, 1)
+UNION ALL SELECT 2, CAST(t AS TIMESTAMP) FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31 23:00', INTERVAL 30 SECOND) s(t)
+ WHERE day(t) <= 5 AND day(t) % 2 = 1 AND hour(t) IN (4, 12) AND minute(t) = 15
+UNION ALL SELECT 3, CAST(t AS TIMESTAMP) FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31 23:00', INTERVAL 1 DAY) s(t) WHERE day(t) = 1 AND month(t) IN (1, 4, 7, 10)
+UNION ALL SELECT 4, TIMESTAMP '2024-02-29 00:00:00'""")
+def calendar_occurrences(spark, sf_dir):
+    texts = ["Fri..Mon 09:30", "*-*-01..05/2 04,12:15:00/30", "quarterly", "2024-02-29", "2023-*-* 00:00", "*-*-* 00:00:60"]
+    rows = [(k, *calendar.common(t)) for k, t in enumerate(texts, 1)]
+    plans = spark.createDataFrame(rows, "job_id int, " + schedule.SCHEMA)
+    return schedule.expand(plans, "2024-01-01 00:00:00", "2024-03-31 23:00:00").select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
+
+
+@query("refused_schedules", "SELECT 2 AS job UNION ALL SELECT 4")
+def refused_schedules(spark, sf_dir):
+    plans = [(1, *cron.common("0 * * * *")), (2, *cron.common("* * * * *")), (3, *calendar.common("hourly")), (4, *calendar.common("Mon *:*:00/10"))]
+    d = spark.createDataFrame(plans, "job_id int, " + schedule.SCHEMA)
+    return schedule.refused(d, "2020-01-01 00:00:00", "2022-01-01 00:00:00").select(F.col("job_id").alias("job"))
+
+
+def _lines(spark, sf_dir, *kinds):
+    """Log lines (source, src, lineno, value) of the events; kinds are (source, seconds after the event, message)."""
+    ev = surrogate.runs(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ord"), "event_type"), "ord")
+    parts = []
+    for n, (source, later, message) in enumerate(kinds):
+        at = F.date_format(F.timestamp_add("SECOND", later, F.col("start")), "yyyy-MM-dd'T'HH:mm:ss")
+        parts.append(ev.select(F.lit(source).alias("source"), F.lit(n).alias("src"), F.col("ord").alias("lineno"), F.concat(at, F.lit("+0200 host "), message).alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    # lines that no rule understands
+    noise = spark.createDataFrame([("a", 0, -1, "-- Journal begins here --"), ("a", 0, -2, "2024-01-01T00:00:00 host sshd[1]: hello"), ("a", 0, -3, None), ("a", 0, -4, "2024-01-01T00:00:61 host CRON[1]: (x) CMD (y)")],
+                                  "source string, src int, lineno long, value string")
+    return out.unionByName(noise)
+
+
+@query("cron_sessions", """
+SELECT CASE WHEN event_id % 2 = 0 THEN 'u' || user_id ELSE 'e' || event_id END AS "user", 'run ' || event_type AS command,
+ date_trunc('second', ts) + INTERVAL 1 SECOND AS start, date_trunc('second', ts) + to_seconds(CAST(2 + event_id % 900 AS BIGINT)) AS "end" FROM events""")
+def cron_sessions(spark, sf_dir):
+    """Even events: the command has its session's pid. Odd ones: another pid, and a user of their own. Closes are in another file."""
+    even, o = F.expr("ord % 2 = 0"), F.col("ord").cast("string")
+    user = F.when(even, F.concat(F.lit("u"), F.col("job_id").cast("string"))).otherwise(F.concat(F.lit("e"), o))
+    head = lambda pid: F.concat(F.lit("CRON["), pid, F.lit("]: "))
+    session = lambda what: F.concat(head(F.concat(o, F.lit("0"))), F.lit(f"pam_unix(cron:session): session {what} for user "), user, F.lit("(uid=0)"))
+    command = F.concat(head(F.concat(o, F.when(even, "0").otherwise("1"))), F.lit("("), user, F.lit(") CMD (run "), F.col("event_type"), F.lit(")"))
+    lines = _lines(spark, sf_dir, ("a", F.lit(0), session("opened")), ("a", F.lit(1), command), ("b", F.expr("cast(2 + ord % 900 as int)"), session("closed")))
+    p = logs.parse(lines, "2024-12-31 00:00:00")
+    return runs_.pair_sessions(logs.cron_commands(p), logs.sessions(p)).select("user", "command", "start", "end")
+
+
+@query("unit_runs", """
+SELECT 'u' || user_id || '.service' AS unit, date_trunc('second', ts) AS start, date_trunc('second', ts) + INTERVAL 600 SECOND AS "end",
+ CAST(event_id % 3 AS INT) AS exit_code, CASE WHEN event_id % 3 = 0 THEN 'success' END AS result FROM events""")
+def unit_runs(spark, sf_dir):
+    unit = F.concat(F.lit("u"), F.col("job_id").cast("string"), F.lit(".service"))
+    lines = _lines(spark, sf_dir, ("a", F.lit(0), F.concat(F.lit("systemd[1]: Starting "), F.when(F.expr("ord % 2 = 0"), F.concat(unit, F.lit(" - Job"))).otherwise(F.concat(F.lit("Job of "), F.col("job_id").cast("string"))), F.lit("..."))),
+                   ("b", F.lit(600), F.concat(F.lit("systemd[1]: "), unit, F.lit(": Main process exited, code=exited, status="), F.expr("cast(ord % 3 as string)"), F.lit("/X"))))
+    d = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("i")).distinct()
+    d = d.select(F.concat(F.lit("Job of "), "i").alias("description"), F.concat(F.lit("u"), "i", F.lit(".service")).alias("unit"))
+    return runs_.unit_runs(logs.unit_events(logs.parse(lines, "2024-12-31 00:00:00"), d)).select("unit", "start", "end", "exit_code", "result")
+
+
+@query("log_totals", """SELECT min(date_trunc('second', ts)) AS "first", max(date_trunc('second', ts)) AS "last", CAST(count(*) + 4 AS BIGINT) AS lines, count(*) AS understood FROM events""")
+def log_totals(spark, sf_dir):
+    lines = _lines(spark, sf_dir, ("a", F.lit(0), F.concat(F.lit("CRON["), F.col("ord").cast("string"), F.lit("]: (x) CMD (y)"))))
+    return logs.totals(logs.parse(lines, "2024-12-31 00:00:00"))
+
+
+@query("implausible_logs", """
+WITH d AS (SELECT 's' || o_custkey % 7 AS source, CAST(o_orderdate AS DATE) AS d, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) AS n FROM orders WHERE year(o_orderdate) = 1997)
+SELECT source, CAST(min(d) AS TIMESTAMP) AS "first", CAST(max(d) AS TIMESTAMP) AS "last", count(*) AS lines, CAST(date_diff('day', min(d), max(d)) AS BIGINT) AS span_days FROM d
+WHERE n <= CASE source WHEN 's0' THEN 1000000 ELSE 200 END GROUP BY source HAVING date_diff('day', min(d), max(d)) > 300 AND count(*) < date_diff('day', min(d), max(d))""")
+def implausible_logs(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/orders.parquet").where("year(o_orderdate) = 1997").select(F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string")).alias("source"), F.to_date("o_orderdate").alias("d"), "o_orderkey")
+    n = F.row_number().over(Window.partitionBy("source").orderBy("o_orderkey"))
+    d = d.withColumn("n", n).where("n <= if(source = 's0', 1000000, 200)")
+    lineno = F.row_number().over(Window.partitionBy("source").orderBy("d", "o_orderkey")).cast("long")
+    lines = d.select("source", lineno.alias("lineno"), F.concat(F.date_format("d", "MMM d"), F.lit(" 00:00:00 host CRON[1]: x")).alias("value"))
+    return logs.implausible(logs.parse(lines, "1997-12-31 23:00:00"))
+
+
+@query("year_rollover", """SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ts FROM orders WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1998-06-01'""")
+def year_rollover(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderdate >= '1996-07-01' and o_orderdate < '1998-06-01'").select(F.to_date("o_orderdate").alias("d")).distinct()
+    lines = d.select(F.lit("a").alias("source"), F.unix_date("d").cast("long").alias("lineno"), F.concat(F.date_format("d", "MMM d"), F.lit(" 00:00:00 host CRON[1]: x")).alias("value"))
+    return logs.parse(lines, "1998-06-01 00:00:00").select("ts")
+
+
+def _jobs(spark, sf_dir):
+    """Jobs as scan.JOB: cron jobs of even users, timers of the others."""
+    ids = surrogate.runs(spark, sf_dir).select("job_id").distinct()
+    even, u = F.expr("job_id % 2 = 0"), F.col("job_id").cast("string")
+    return ids.select(F.col("job_id").cast("int").alias("job_id"), F.concat(F.when(even, "cron:").otherwise("systemd:"), u).alias("id"), F.when(even, "cron").otherwise("systemd").alias("source"),
+                      F.lit("0 * * * *").alias("schedule"), F.lit("made").alias("origin"), F.concat(F.lit("u"), u).alias("user"), F.lit("tidy up").alias("command"),
+                      F.when(~even, F.concat(F.lit("u"), u, F.lit(".service"))).alias("unit"), F.when(~even, F.concat(F.lit("u"), u, F.lit(".timer"))).alias("timer"),
+                      F.expr("if(job_id % 2 = 0, 120D, 300D)").alias("tolerance"))
+
+
+@query("run_job_match", """
+SELECT user_id AS job, count(*) AS runs FROM events WHERE user_id % 2 = 0 GROUP BY user_id
+UNION ALL SELECT -1, count(*) FROM events WHERE user_id % 2 <> 0""")
+def run_job_match(spark, sf_dir):
+    r = surrogate.runs(spark, sf_dir).select(F.concat(F.lit("u"), F.col("job_id").cast("string")).alias("user"), F.lit("tidy   up ").alias("command"), "start")
+    found, lost = scan.match(r, _jobs(spark, sf_dir))
+    return found.groupBy(F.col("job_id").cast("long").alias("job")).agg(F.count("*").alias("runs")).unionByName(lost.agg(F.lit(-1).cast("long").alias("job"), F.count("*").alias("runs")))
+
+
+@query("unmatched_runs", """
+WITH u AS (SELECT '(u' || user_id || ') run ' || event_type AS said FROM events WHERE user_id % 10 = 3),
+d AS (SELECT DISTINCT said FROM u), e AS (SELECT said FROM d ORDER BY said LIMIT 5)
+SELECT (SELECT count(*) FROM u) AS runs, (SELECT count(*) FROM d) AS "distinct", (SELECT string_agg(said, ', ' ORDER BY said) FROM e) AS examples""")
+def unmatched_runs(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 10 = 3")
+    lost = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("run "), "event_type").alias("command"))
+    return scan.unmatched(lost).withColumn("examples", F.array_join("examples", ", "))
+
+
+_FAILED = """WITH r AS (SELECT user_id AS job, date_trunc('second', ts) AS s, date_trunc('second', ts) + to_minutes(CAST(floor(value) AS BIGINT)) AS e,
+  CASE event_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'exit-code' END AS result, CAST(CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 3 END AS INT) AS code FROM events),
+ bad AS (SELECT * FROM r WHERE CASE WHEN result IS NOT NULL THEN result <> 'success' ELSE coalesce(code <> 0, false) END),
+ st AS (SELECT user_id AS job, CASE WHEN user_id % 5 = 0 THEN NULL ELSE max(date_trunc('second', ts)) + to_seconds(CAST(user_id % 7 AS BIGINT)) END AS exited FROM events GROUP BY user_id),
+ f AS (SELECT job, 'journalctl' AS evidence, e AS "when" FROM bad UNION ALL
+  SELECT job, 'systemctl show', exited FROM st WHERE job % 3 = 0 AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.job = st.job AND abs(epoch(b.e) - epoch(st.exited)) <= 5))"""
+
+
+def _made_states(spark, sf_dir):
+    r = surrogate.runs(spark, sf_dir).groupBy("job_id").agg(F.max("start").alias("t"))
+    at = F.when(F.expr("job_id % 5 <> 0"), F.timestamp_add("SECOND", F.expr("cast(job_id % 7 as int)"), F.col("t")).cast("timestamp_ntz"))
+    return r.select(F.col("job_id"), F.expr("job_id % 3 = 0").alias("failed"), at.alias("exited"), F.lit(1).alias("exit_code"), F.lit("exit-code").alias("result"))
+
+
+def _made_runs(spark, sf_dir):
+    return surrogate.runs(spark, sf_dir).withColumn("result", F.expr("case ord % 4 when 0 then 'success' when 1 then 'exit-code' end")).withColumn("exit_code", F.expr("cast(if(ord % 4 = 3, null, ord % 3) as int)"))
+
+
+@query("failures", _FAILED + """ SELECT job, evidence, "when" FROM f""")
+def failures(spark, sf_dir):
+    return detect.failures(_made_runs(spark, sf_dir), _made_states(spark, sf_dir)).select(F.col("job_id").alias("job"), "evidence", "when")
+
+
+@query("finding_counts", _FAILED.replace("FROM events),", "FROM events WHERE ts >= TIMESTAMP '2024-01-05' - to_seconds(CAST(CASE WHEN user_id % 2 = 0 THEN 120 ELSE 300 END AS BIGINT)) AND date_trunc('second', ts) <= TIMESTAMP '2024-01-20'),", 1) + """,
+ tol AS (SELECT DISTINCT user_id AS job, to_seconds(CAST(CASE WHEN user_id % 2 = 0 THEN 120 ELSE 300 END AS BIGINT)) AS tol FROM events),
+ o AS (SELECT job, tol, t FROM tol, generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-20', INTERVAL 1 HOUR) g(t) WHERE t <= TIMESTAMP '2024-01-20' - tol),
+ every AS (SELECT job, 'missed' AS kind FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.job = o.job AND r.s BETWEEN o.t - o.tol AND o.t + o.tol)
+  UNION ALL SELECT p.job, 'overlap' FROM (SELECT *, row_number() OVER (ORDER BY s, e) AS n FROM r) p JOIN (SELECT *, row_number() OVER (ORDER BY s, e) AS n FROM r) c ON p.job = c.job AND p.n < c.n AND p.e > c.s
+  UNION ALL SELECT job, 'failure' FROM f WHERE job % 2 = 1)
+ SELECT CASE WHEN job % 2 = 0 THEN 'cron' ELSE 'systemd' END AS source, kind, CASE kind WHEN 'overlap' THEN 'warning' ELSE 'error' END AS severity, count(*) AS findings FROM every GROUP BY ALL""")
+def finding_counts(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir)
+    start, end = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+    runs = _made_runs(spark, sf_dir).select(F.col("job_id").cast("int").alias("job_id"), "start", "end", F.col("ord").alias("pid"), "exit_code", "result")
+    runs = detect.in_window(runs.join(jobs.select("job_id", "tolerance"), "job_id"), start, end, F.col("tolerance")).drop("tolerance")
+    plan = dict(zip([c.split()[0] for c in schedule.SCHEMA.split(", ")], cron.common("0 * * * *")))
+    kind = {c.split()[0]: c.split()[1] for c in schedule.SCHEMA.split(", ")}
+    due = jobs.select(F.struct("job_id", "tolerance").alias("job_id"), *[F.lit(v).cast(kind[k]).alias(k) for k, v in plan.items()],
+                      F.expr(f"cast('{end}' as timestamp_ntz) - make_dt_interval(0, 0, 0, tolerance)").alias("deadline"))
+    occ = schedule.expand(due, start, F.col("deadline")).select("job_id.job_id", "job_id.tolerance", "ts")
+    states = _made_states(spark, sf_dir).select(F.col("job_id").cast("int").alias("job_id"), "failed", "exited", "exit_code", "result", F.lit("failed").alias("active"), F.create_map().cast("map<string,string>").alias("props"))
+    # states count only for timers
+    states = states.where("job_id % 2 = 1")
+    return scan.findings(jobs, occ, runs, states).groupBy("source", "kind", "severity").agg(F.count("*").alias("findings"))
+
+
+@query("crontab_entries", """
+SELECT 'c' || n_regionkey AS source, CAST(n_nationkey AS BIGINT) AS lineno,
+ CASE n_nationkey % 5 WHEN 0 THEN '@daily' WHEN 1 THEN CASE WHEN n_regionkey % 2 = 0 THEN '*/5 * * * *' ELSE NULL END WHEN 2 THEN '0 3 * * mon' END AS schedule,
+ CASE WHEN n_nationkey % 5 IN (0, 2) OR (n_nationkey % 5 = 1 AND n_regionkey % 2 = 0) THEN 'bob' END AS "user",
+ CASE WHEN n_nationkey % 5 = 0 OR n_nationkey % 5 = 2 OR (n_nationkey % 5 = 1 AND n_regionkey % 2 = 0) THEN 'visit ' || n_name END AS command,
+ n_nationkey % 5 = 4 OR (n_nationkey % 5 = 1 AND n_regionkey % 2 = 1) AS problem FROM nation WHERE n_nationkey % 5 <> 3""")
+def crontab_entries(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    line = F.expr("""case n_nationkey % 5 when 0 then concat('@Daily  bob visit   ', n_name) when 1 then if(n_regionkey % 2 = 0, concat('*/5 * * *\t* bob visit ', n_name), '*/5 * * * *')
+        when 2 then concat('  0 3 * * mon bob visit ', n_name, '  ') when 3 then if(n_regionkey % 2 = 0, '# note', 'MAILTO = x') else 'cron_tz=UTC' end""")
+    lines = n.select(F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("source"), F.col("n_nationkey").cast("long").alias("lineno"), line.alias("value"))
+    return crontab.parse(lines, True).withColumn("problem", F.col("problem").isNotNull())
+
+
+@query("merged_jobs", """
+WITH e AS (SELECT 'u' || user_id % 20 AS "user", 'run ' || event_type AS command, event_id % 60 || ' * * * *' AS schedule, event_id AS lineno FROM events WHERE event_id % 7 = 0),
+ s AS (SELECT "user", command, schedule, min(lineno) AS place FROM e GROUP BY ALL)
+SELECT "user", command, string_agg(schedule, ' ; ' ORDER BY place) AS schedules, (SELECT count(*) FROM e WHERE e."user" = s."user" AND e.command = s.command) AS entries FROM s GROUP BY "user", command""")
+def merged_jobs(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 = 0")
+    line = F.concat((F.col("event_id") % 60).cast("string"), F.lit(" * * * * u"), (F.col("user_id") % 20).cast("string"), F.lit("  run  "), "event_type")
+    entries = crontab.jobs(crontab.parse(e.select(F.lit("c").alias("source"), F.col("event_id").alias("lineno"), line.alias("value")), True))
+    return crontab.merge(entries).select("user", "command", F.array_join("schedules", " ; ").alias("schedules"), F.size("origins").cast("long").alias("entries"))
+
+
+@query("crontab_formats", """
+WITH v AS (SELECT 'c' || c_custkey % 40 AS source, c_custkey % 40 AS f, c_custkey AS k FROM customer),
+ w AS (SELECT source, CASE WHEN f % 4 = 0 THEN 'system' WHEN f % 4 = 1 THEN 'user' WHEN f % 4 = 2 THEN 'repeated' ELSE CASE WHEN k % 3 = 0 THEN 'system' WHEN k % 3 = 1 THEN 'user' ELSE 'either' END END AS vote FROM v)
+SELECT source, count(*) FILTER (vote IN ('system', 'repeated')) AS system_votes, count(*) FILTER (vote = 'user') AS user_votes, count(*) FILTER (vote = 'either') AS undecided,
+ count(*) FILTER (vote IN ('system', 'repeated')) > count(*) FILTER (vote = 'user') AS system,
+ count(*) FILTER (vote = 'either') > 0 OR (count(*) FILTER (vote = 'system') > 0 AND count(*) FILTER (vote = 'user') > 0) OR count(*) FILTER (vote = 'repeated') > 0 AS guessed FROM w GROUP BY source""")
+def crontab_formats(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 40).alias("f"), F.col("c_custkey").alias("k"))
+    named, used, maybe, twice = ("root /bin/x", "www-data tidy a"), ("backup.sh /data", "/usr/bin/x"), ("backup archive", "john.doe /x"), ("deploy /opt/a", "deploy ~/b")
+    pick = lambda two: F.when(F.col("k") % 2 == 0, two[0]).otherwise(two[1])
+    rest = F.when(F.col("f") % 4 == 0, pick(named)).when(F.col("f") % 4 == 1, pick(used)).when(F.col("f") % 4 == 2, pick(twice)).otherwise(
+        F.when(F.col("k") % 3 == 0, pick(named)).when(F.col("k") % 3 == 1, pick(used)).otherwise(pick(maybe)))
+    lines = c.select(F.concat(F.lit("c"), F.col("f").cast("string")).alias("source"), F.col("k").cast("long").alias("lineno"), F.concat(F.when(F.col("k") % 5 == 0, "@daily ").otherwise("5 4 * * * "), rest).alias("value"))
+    return crontab.formats(crontab.votes(lines)).select("source", "system_votes", "user_votes", "undecided", "system", "guessed")
+
+
+@query("timer_units", """
+SELECT 'systemd:s' || s_suppkey || '.timer' AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'other' || s_suppkey || '.service' ELSE 's' || s_suppkey || '.service' END AS unit,
+ CASE WHEN s_suppkey % 2 = 0 THEN 'daily ; Mon *-*-* 0' || s_suppkey % 10 || ':00' ELSE 'hourly' END AS schedules, CAST(60 * (s_suppkey % 50) + 1.5 + (s_suppkey % 4) AS DOUBLE) AS tolerance,
+ s_suppkey % 4 = 0 AS failed, CASE WHEN s_suppkey % 4 = 1 THEN NULL ELSE TIMESTAMP '2024-02-01 03:04:05' + to_days(CAST(s_suppkey % 20 AS INT)) END AS exited FROM supplier WHERE s_suppkey % 11 <> 0""")
+def timer_units(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    block = F.expr("""array(concat('Id=s', k, '.timer'), if(k % 3 = 0, concat('Unit=other', k, '.service'), 'Noise'), concat('AccuracyUSec=', k % 50, 'min 1s 500ms'), concat('RandomizedDelayUSec=', (k % 4) * 1000000),
+        case when k % 11 = 0 then 'TimersCalendar=' when k % 2 = 0 then concat('TimersCalendar={ OnCalendar=daily ; next_elapse=n/a } { OnCalendar=Mon *-*-* 0', k % 10, ':00 ; next_elapse=x }')
+             else 'TimersCalendar={ OnCalendar=hourly ; next_elapse=x }' end, '',
+        concat('Id=', if(k % 3 = 0, 'other', 's'), k, '.service'), 'Result=x', if(k % 4 = 0, 'Result=exit-code', 'Result=success'), 'ExecMainStatus=3',
+        if(k % 4 = 1, 'ExecMainExitTimestamp=', concat('ExecMainExitTimestamp=Thu ', date_format(date_add(date'2024-02-01', cast(k % 20 as int)), 'yyyy-MM-dd'), ' 03:04:05 CET')), '')""")
+    lines = s.select("k", F.posexplode(block).alias("p", "value")).select(F.lit("show").alias("source"), (F.col("k") * 100 + F.col("p")).alias("lineno"), "value")
+    st = units.parse(lines)
+    late = units.latest(st).select(F.col("unit").alias("timer"), units.tolerance(F.col("props")).alias("tolerance"))
+    t = units.timers(st).where("problem is null").join(late, "timer").join(units.state(st).select("unit", "failed", "exited"), "unit")
+    return t.select("id", "unit", F.array_join("schedules", " ; ").alias("schedules"), "tolerance", "failed", "exited")
+
+
+@query("durations", """SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN (event_id % 90) * 60 + 5 WHEN 1 THEN event_id / 1000000.0 WHEN 2 THEN 0 ELSE 86400 + (event_id % 10) * 0.5 END AS DOUBLE) AS seconds FROM events""")
+def durations(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    text = F.expr("case event_id % 4 when 0 then concat(event_id % 90, 'min 5s') when 1 then cast(event_id as string) when 2 then if(event_id % 8 = 2, 'infinity', 'soon') else concat('1d ', cast((event_id % 10) * 0.5 as decimal(4,1)), ' sec') end")
+    return e.select("event_id", duration(text).alias("seconds"))
+
+
+@query("runs_in_window", """SELECT event_id AS ord, date_trunc('second', ts) AS start FROM events WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-10 11:58:00' AND TIMESTAMP '2024-01-12 06:30:00'""")
+def runs_in_window(spark, sf_dir):
+    return detect.in_window(surrogate.runs(spark, sf_dir), "2024-01-10 12:00:00", "2024-01-12 06:30:00", 120).select("ord", "start")
