@@ -2,8 +2,8 @@
 
 Hashes of all rolling word K-grams of every text are joined to those of the templates. A hit votes
 for its diagonal (text position - template position); hits on one diagonal at most GAP words apart
-are a segment. Segments of a long template with two hits or more are merged with the one before where
-their diagonals differ by SLIP at most and GAP words at most lie between. A merged span is verified:
+are a segment. Segments of a long template with two hits or more are merged where their diagonals
+neighbour (SLIP apart at most) and GAP words at most lie between. A merged span is verified:
 the distinct template positions hit must be SHARE of the template's, however often one repeats, and
 the span no longer than the template and a quarter. The base phrases must stand whole.
 
@@ -90,10 +90,15 @@ def scan(docs: DataFrame) -> DataFrame:
     h = h.withColumn("part", F.when(F.col("base"), 0).otherwise(F.sum("new").over(line)))
     seg = h.groupBy(*key, "diag", "part").agg(F.collect_set("j").alias("js"), F.min("i").alias("first"), (F.max("i") + K).alias("last"))
     whole = seg.where("base and size(js) = grams").select(*key, "first", "last", F.lit(1.0).alias("share"))
-    by = Window.partitionBy("doc_id", "x", "t").orderBy("first", "last", "diag")
-    far = (F.abs(F.col("diag") - F.lag("diag").over(by)) > SLIP) | (F.col("first") - F.lag("last").over(by) > GAP)
-    long = seg.where("not base and size(js) > 1").withColumn("new", F.coalesce(far.cast("int"), F.lit(0))).withColumn("span", F.sum("new").over(by))
-    spans = long.groupBy(*key, "span").agg(F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"), F.min("first").alias("first"), F.max("last").alias("last"))
+    # segments on neighbouring diagonals are a band; within it, those close to each other in the text are one span
+    by = Window.partitionBy("doc_id", "x", "t").orderBy("diag", "first")
+    long = seg.where("not base and size(js) > 1").withColumn("new", F.coalesce((F.col("diag") - F.lag("diag").over(by) > SLIP).cast("int"), F.lit(0)))
+    long = long.withColumn("band", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    by = Window.partitionBy("doc_id", "x", "t", "band").orderBy("first", "diag")
+    before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    long = long.withColumn("new", F.coalesce((F.col("first") - before > GAP).cast("int"), F.lit(0)))
+    long = long.withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = long.groupBy(*key, "band", "span").agg(F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"), F.min("first").alias("first"), F.max("last").alias("last"))
     share = F.size("js") / F.col("grams")
     spans = spans.where((share >= SHARE - 1e-9) & (F.col("last") - F.col("first") <= 1.25 * (F.col("grams") + K - 1) + SLIP))
     return whole.unionByName(spans.select(*key, "first", "last", share.alias("share"))).drop("grams")
