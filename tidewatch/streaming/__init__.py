@@ -1 +1 @@
-"""tidewatch.streaming"""
+"""Structured Streaming jobs over log lines."""
