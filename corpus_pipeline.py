@@ -1,18 +1,18 @@
 """Corpus pipeline: quality rules, near duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir); run() writes every result as Parquet to the shared folder
-and reads it again as the next stage's docs. Null and empty texts fail the quality rules; a stage
-given an empty table returns an empty one.
+and reads it again as the next stage's docs. Null and empty texts fail the quality rules; rows of a
+null or a repeated doc_id are documents of their own, unless their texts are near or exact copies;
+a stage given an empty table returns an empty one.
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, jaccard, mixing, pii, quality
-from tidewatch.llm.common import table
+from tidewatch.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,9 +23,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each linked group stays, that with the smallest doc_id."""
-    kept = jaccard.link(docs).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near or exact copies stays, that with the smallest doc_id, nulls last."""
+    return jaccard.one_of_each(docs.select(COLUMNS))
 
 
 def personal_data(spark, docs, sf_dir):
@@ -58,8 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    where, docs = f"{shared}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    where, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
