@@ -131,3 +131,13 @@ def taken_texts(mixed: DataFrame) -> DataFrame:
 
 def op3_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_sizes(spark, sf_dir):
+    """The columns of op3_mix that SQL can express."""
+    return op3_mix(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+ORACLES = {"mix_sizes": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents)
+SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM d"""}

@@ -12,6 +12,10 @@ _WHERE = {
     "op8_jaccard": "jaccard",
     "op9_pii": "pii",
     "op10_byte_bpe": "bpe",
+    # the columns of an operator that SQL can express
+    "quality_base": "quality",
+    "license_base": "licenses",
+    "mix_sizes": "mixing",
 }
 
 
@@ -22,7 +26,7 @@ def queries():
 def oracle_sql():
     out = {}
     for name, module in _WHERE.items():
-        sql = getattr(import_module(f"{__package__}.{module}"), "ORACLE", None)
+        sql = getattr(import_module(f"{__package__}.{module}"), "ORACLES", {}).get(name)
         if sql:
             out[name] = sql
     return out

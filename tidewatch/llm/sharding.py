@@ -111,4 +111,4 @@ def op7_sharding(spark, sf_dir):
     return store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "version")
 
 
-ORACLE = "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, CAST(2 AS BIGINT) AS version FROM documents"
+ORACLES = {"op7_sharding": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, CAST(2 AS BIGINT) AS version FROM documents"}
