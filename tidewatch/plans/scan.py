@@ -142,6 +142,7 @@ def findings(jobs: DataFrame, occ: DataFrame, runs: DataFrame, states: DataFrame
     parts = []
     if "missed" not in ignore:
         tol = jobs.select("job_id", "tolerance")
+        # fixed values: the wording of findings
         m = detect.missed(occ, runs, F.col("tolerance")).join(F.broadcast(tol), "job_id")
         parts.append(m.select("job_id", F.lit("missed").alias("kind"), F.col("ts").alias("when"),
                               F.format_string("scheduled for %s but no run started within %ds", said("ts"), F.col("tolerance").cast("long")).alias("message"),
@@ -192,10 +193,10 @@ def window(opt: Options, first: datetime | None, last: datetime | None) -> tuple
     end = opt.until or (None if opt.journal else last) or opt.now
     said = []
     if first and start < first:
-        said.append(f"requested window starts {start} but the log only covers from {first}; window clamped")
+        said.append(f"the log begins at {first}, after the start asked for ({start}); window clamped to it")
         start = first
     if last and end > last:
-        said.append(f"the log's last entry is {last} but the window runs to {end}; occurrences after it are reported as missed")
+        said.append(f"the log ends at {last}, before the window does ({end}); what was due in between counts as missed")
     return start, max(start, end), said
 
 
@@ -273,28 +274,28 @@ def scan(spark: SparkSession, opt: Options) -> Result:
                 jobs.append(Job(len(jobs), r.id, SYSTEMD, list(r.schedules), ["systemctl show"], unit=r.unit, timer=r.timer, tolerance=opt.tolerance + late.get(r.timer, 0.0)))
     if not jobs:
         seen = ", ".join(sources["crontabs"] + sources["systemctl_show"]) or "no schedule source"
-        warnings.append(Warned("no-schedules", f"no schedules to check (looked at: {seen})"))
+        warnings.append(Warned("no-schedules", f"nothing is scheduled in {seen}"))
 
     lines, sources["logs"] = _read_logs(spark, opt, jobs, diagnostics)
     parsed = logs.parse(lines, str(opt.now)).cache()
     first, last, total, understood = logs.totals(parsed).first()
     if not understood:
         where = ", ".join(sources["logs"])
-        why = "no log source, so every scheduled run counts as missed" if not where else f"no log lines parsed: {where} produced no output" if not total else \
-            f"no log lines parsed: none of the {total} line(s) from {where} were recognised as cron or systemd log lines"
+        why = "no log to look at: all that was due counts as missed" if not where else f"no log lines parsed: {where} gave none" if not total else \
+            f"no log lines parsed: {total} line(s) of {where}, none of cron or the service manager"
         warnings.append(Warned("no-log-lines", why))
     for r in logs.implausible(parsed).orderBy("source").collect():
-        warnings.append(Warned("implausible-log-dates", f"{r.source}: {r.lines} year-less line(s) were dated across {r.span_days} days ({r.first} - {r.last}); their order is likely not chronological"))
+        warnings.append(Warned("implausible-log-dates", f"{r.source}: {r.lines} line(s) without a year came to lie {r.span_days} days apart ({r.first} - {r.last}); they are likely out of order"))
     events = logs.unit_events(parsed, units.descriptions(states) if states is not None else None)
     for r in logs.unresolved(events).orderBy("title").collect():
-        diagnostics.append(Diagnostic(None, f"could not map journal message {r.title!r} to a unit; unit descriptions would resolve it"))
+        diagnostics.append(Diagnostic(None, f"the journal speaks of {r.title!r}, which no known unit is called"))
 
     start, end, said = window(opt, first, last)
     diagnostics += [Diagnostic(None, s) for s in said]
     span = (end - start).total_seconds()
     empty = span < opt.tolerance
     if empty:
-        warnings.append(Warned("empty-window", f"the window {start} - {end} is {int(span)}s long but the tolerance is {int(opt.tolerance)}s, so no scheduled run could be judged", True))
+        warnings.append(Warned("empty-window", f"a window of {int(span)}s ({start} - {end}) leaves nothing to judge at a tolerance of {int(opt.tolerance)}s", True))
 
     dim = spark.createDataFrame([(j.ord, j.id, j.source, j.schedule, j.origin, j.user, j.command, j.unit, j.timer, j.tolerance) for j in jobs], JOB)
     cron_runs = runs_.pair_sessions(logs.cron_commands(parsed), logs.sessions(parsed)).cache()
@@ -321,7 +322,7 @@ def scan(spark: SparkSession, opt: Options) -> Result:
     away = of_jobs.where(F.col("failed") & F.col("exited").isNotNull() & ~F.col("exited").between(F.lit(str(start)).cast("timestamp_ntz"), F.lit(str(end)).cast("timestamp_ntz")))
     if "failure" not in opt.ignore:
         for r in away.orderBy("job_id").collect():
-            diagnostics.append(Diagnostic(jobs[r.job_id].id, f"unit {r.unit} is Result={r.result or 'unknown'} from {r.exited}, which is outside the analysed window", jobs[r.job_id].origin))
+            diagnostics.append(Diagnostic(jobs[r.job_id].id, f"the failure of {r.unit} (Result={r.result or 'unknown'}) at {r.exited} lies outside the window", jobs[r.job_id].origin))
     got = findings(dim, occ, runs, of_jobs.join(away.select("job_id"), "job_id", "left_anti"), opt.ignore).collect()
     order = {k: n for n, k in enumerate(KINDS)}
     for f in sorted(got, key=lambda f: (order[f.kind], f.when or start)):
@@ -329,7 +330,7 @@ def scan(spark: SparkSession, opt: Options) -> Result:
     if "overlap" not in opt.ignore:
         for j in jobs:
             if j.source == CRON and len(j.runs) > 1 and all(r.end is None for r in j.runs):
-                diagnostics.append(Diagnostic(j.id, "no session lines for this job, so run durations are unknown and overlaps cannot be detected", j.origin))
+                diagnostics.append(Diagnostic(j.id, "without session lines its runs have no ends, and overlaps stay unseen", j.origin))
     warnings += _doubts(jobs, files, nothing, not cron_runs.isEmpty(), diagnostics) + late_warnings
     every = sorted((f for j in jobs for f in j.findings), key=lambda f: (f.when or start, f.kind, f.id))
     return Result(opt.now, start, end, opt.tolerance, jobs, every, warnings, diagnostics, sources, total, understood)
@@ -341,7 +342,7 @@ def _plans(jobs, start, end, empty, diagnostics) -> tuple[list, list[Warned]]:
     for j in jobs:
         deadline = end - timedelta(seconds=j.tolerance)
         if deadline < start and not empty:
-            warnings.append(Warned("empty-window", f"{j.id}: the timer's slack of {int(j.tolerance)}s is longer than the analysed window, so none of its runs could be judged"))
+            warnings.append(Warned("empty-window", f"{j.id}: may be {int(j.tolerance)}s late, longer than the window; none of its runs was judged"))
         for n, expr in enumerate(j.schedules):
             try:
                 plans.append((j.ord, n, deadline, float(j.tolerance), *(cron if j.source == CRON else calendar).common(expr)))
@@ -349,7 +350,7 @@ def _plans(jobs, start, end, empty, diagnostics) -> tuple[list, list[Warned]]:
                 j.schedule_ok = False
                 diagnostics.append(Diagnostic(j.id, f"schedule {expr!r} not analysable: {e}", j.origin))
                 if isinstance(e, calendar.ZoneError):
-                    warnings.append(Warned("unsupported-timezone", f"{j.id}: OnCalendar={expr!r} names a timezone - the timer is excluded from missed-run detection"))
+                    warnings.append(Warned("unsupported-timezone", f"{j.id}: {expr!r} is in a time zone of its own; its missed runs are not looked for"))
     return plans, warnings
 
 
@@ -360,35 +361,35 @@ def _some(users: list[str]) -> str:
 def _compare(jobs, matched, lost, cron_runs, opt, understood, diagnostics) -> str | None:
     """Says which runs have no job; where no run has one, why that may be."""
     n = unmatched(lost).first()
-    summary = f"{n.runs} cron run(s) in the log matched no known crontab entry ({n.distinct} distinct): {', '.join(n.examples)}" + " ..." * (n.distinct > EXAMPLES) if n.runs else ""
+    summary = f"{n.runs} cron run(s) of {n.distinct} command(s) belong to no crontab entry: {', '.join(n.examples)}" + " ..." * (n.distinct > EXAMPLES) if n.runs else ""
     ours = sorted({j.user or "" for j in jobs if j.source == CRON})
     if not ours or not understood or not matched.isEmpty():
         diagnostics += [Diagnostic(None, summary)] * bool(summary)
         return None
     theirs = sorted(r.user for r in cron_runs.select("user").distinct().collect())
     if not theirs:
-        cause = f"{understood} log line(s) were understood but not one of them is a cron run ({', '.join(logs.journal_identifiers())})"
+        cause = f"{understood} line(s) were understood, none of them a cron run (looked for: {', '.join(logs.journal_identifiers())})"
     elif not set(ours) & set(theirs):
-        hint = f"user {opt.crontab_user!r} was given, but does not apply to these entries" if opt.crontab_user else "a user-format crontab is attributed to root unless its filename is the owner's name"
-        cause = f"the log's cron runs belong to {_some(theirs)} but the crontab entries are attributed to {_some(ours)}; {hint}"
+        hint = f"the user given, {opt.crontab_user!r}, was not the entries' or not the log's" if opt.crontab_user else "name the owner of files that do not"
+        cause = f"the log has runs of {_some(theirs)}, the crontabs entries of {_some(ours)}; {hint}"
     else:
-        cause = f"the users match ({_some(ours)}) but none of the commands do; the crontab may have been read in the wrong format"
+        cause = f"{_some(ours)} run on both sides, but other commands; a format read wrongly does that"
     return f"{cause}. {summary}" if summary else f"{cause}."
 
 
 def _doubts(jobs, files, nothing, has_runs, diagnostics) -> list[Warned]:
     """Warnings that missed runs come from the comparison, where any are reported for entries without a run."""
-    opening = "not one cron run in the log could be attributed to a crontab entry"
+    opening = "no cron run of the log belongs to any crontab entry"
     invented = {j.ord for j in jobs if j.source == CRON and not j.runs and any(f.kind == "missed" for f in j.findings)}
     if nothing:
         if invented:
-            return [Warned(NO_RUNS_MATCHED, f"{opening}, so every scheduled cron run counts as missed: {nothing}")]
-        diagnostics.append(Diagnostic(None, f"{opening}, but no missed run was reported for those entries: {nothing}"))
+            return [Warned(NO_RUNS_MATCHED, f"{opening}; the missed runs of cron jobs tell nothing: {nothing}")]
+        diagnostics.append(Diagnostic(None, f"{opening}; no missed run was reported for them either: {nothing}"))
         return []
     out = []
     for f in (x for x in files if x.guessed and has_runs):
         own = [j for j in jobs if j.source == CRON and any(o.rsplit(":", 1)[0] == f.path for o in j.origins)]
         if own and not any(j.runs for j in own) and any(j.ord in invented for j in own):
             how = f"read as a {f.format}-format crontab because a user was given" if f.overruled else f"read as a {f.format}-format crontab, which its entries did not settle"
-            out.append(Warned("crontab-format-guessed", f"{f.path}: {how}, and not one of its {len(own)} entries matched a cron run in the log; try the {f.other} format"))
+            out.append(Warned("crontab-format-guessed", f"{f.path}: {how}; none of its {len(own)} entries has a run in the log, so try the {f.other} format"))
     return out
