@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SEP, cut, table, words
 
-CAP, BLOCK, SHARD_WORDS = 3, 64, 4_000_000
+CAP, BLOCK, SHARD_WORDS = 3, 64, 500_000
 COLUMNS = ("size", "source_size", "target", "rounds", "parts", "taken")
 
 
