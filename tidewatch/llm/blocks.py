@@ -27,11 +27,12 @@ def buckets(docs: DataFrame, each: int = BUCKET_BYTES) -> int:
 
 
 def dump(*arrays) -> bytes:
-    """The arrays, their bytes laid out by place value (high bytes are mostly equal), compressed."""
-    out = []
+    """The arrays, their bytes laid out by place value (high bytes are mostly equal), compressed piece by piece."""
+    z, out = zlib.compressobj(1), []
     for a in map(np.ascontiguousarray, arrays):
-        out.append(struct.pack("<3sQ", a.dtype.str.encode(), len(a)) + a.view("u1").reshape(len(a), a.dtype.itemsize).T.tobytes())
-    return zlib.compress(b"".join(out), 1)
+        out.append(z.compress(struct.pack("<3sQ", a.dtype.str.encode(), len(a))))
+        out += [z.compress(a.view("u1")[k :: a.dtype.itemsize].tobytes()) for k in range(a.dtype.itemsize)]
+    return b"".join(out) + z.flush()
 
 
 def load(data: bytes) -> list[np.ndarray]:
@@ -55,19 +56,21 @@ def load_ids(value: np.ndarray, null: np.ndarray) -> list:
 
 
 def by_rank(at: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of n items by falling frequency, lengths of the lists, all positions in that order)."""
+    """(order of n items by falling frequency, lengths of the lists, all positions in that order); empties at."""
+    lens = np.array([len(a) for a in at], "<u4")
     pos = np.concatenate(at) if at else np.zeros(0, "<u4")
+    at.clear()
     order = np.argsort(-np.bincount(pos, minlength=n), kind="stable")
     rank = np.empty(n, "<u4")
     rank[order] = np.arange(n, dtype="<u4")
-    return order, np.array([len(a) for a in at], "<u4"), rank[pos]
+    return order, lens, rank[pos]
 
 
 def starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
-def blocks(docs: DataFrame, find, pack, binary: bool = False) -> DataFrame:
+def blocks(docs: DataFrame, find, pack, binary: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """ROWS of docs (doc_id, text): find(text) lists items, pack(items, ids, positions) yields (bucket, data) of a block.
 
     Bucket -1 is the payload. Its key is made unique, so that grouping by bucket moves it alone.
@@ -94,7 +97,7 @@ def blocks(docs: DataFrame, find, pack, binary: bool = False) -> DataFrame:
                 ids.append(doc_id)
                 at.append(np.fromiter((seen.setdefault(w, len(seen)) for w in found), "<u4", len(found)))
                 size += len(t)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield flush()
                     n += 1
                     seen, ids, at, size = {}, [], [], 0

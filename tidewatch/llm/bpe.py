@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .blocks import ROWS, blocks, buckets, by_rank, dump, dump_ids, load, load_ids, starts
+from .blocks import BLOCK_BYTES, ROWS, blocks, buckets, by_rank, dump, dump_ids, load, load_ids, starts
 
 
 def _pattern(pattern: str):
@@ -53,7 +53,7 @@ def _file(ranks_path: str) -> bytes:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with with_ids)."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with with_ids, from smaller blocks)."""
     n = buckets(docs)
     shared = docs.sparkSession.sparkContext.broadcast(_file(ranks_path))
 
@@ -108,7 +108,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
         return d if with_ids else d.drop(columns="ids")
 
     rx = _pattern(pattern)
-    rows = blocks(docs, rx.findall, pack)
+    # the ids of a block leave its task together
+    rows = blocks(docs, rx.findall, pack, block_bytes=BLOCK_BYTES // 4 if with_ids else BLOCK_BYTES)
     rows = rows.groupBy("bucket").applyInPandas(answer, ROWS)
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.groupBy("block").applyInPandas(reassemble, kind)

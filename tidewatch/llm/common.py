@@ -39,10 +39,6 @@ def words(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEP), lambda w: w != "")
 
 
-def lower_ascii(col):
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(id, comp) for every endpoint of edges (a, b): comp is the smallest id reachable.
 
