@@ -12,6 +12,9 @@ _WHERE = {
     "op8_jaccard": "jaccard",
     "op9_pii": "pii",
     "op10_byte_bpe": "bpe",
+    "op11_exactdedup": "exactdedup",
+    "op12_repair": "repair",
+    "op13_clusters": "clustering",
     # the columns of an operator that SQL can express
     "quality_base": "quality",
     "license_base": "licenses",
