@@ -50,7 +50,7 @@ def test_clusters_equal_plain_assignment(spark):
 
 
 def test_fewer_vectors_than_centroids_and_none(spark):
-    rows = made(5)[:7]
+    rows = made(6)[:7]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, clustering.report(*clustering.cluster(v)).collect()), key=str) == expected(rows)
     assert clustering.report(*clustering.cluster(v.limit(0))).count() == 0
