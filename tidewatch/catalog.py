@@ -145,7 +145,7 @@ def cron_sessions(spark, sf_dir):
     command = F.concat(head(F.concat(o, F.when(even, "0").otherwise("1"))), F.lit("("), user, F.lit(") CMD (run "), F.col("event_type"), F.lit(")"))
     lines = _lines(spark, sf_dir, ("a", F.lit(0), session("opened")), ("a", F.lit(1), command), ("b", F.expr("cast(2 + ord % 900 as int)"), session("closed")))
     p = logs.parse(lines, "2024-12-31 00:00:00")
-    return runs_.pair_sessions(logs.cron_commands(p), logs.sessions(p)).select("user", "command", "start", "end")
+    return runs_.pair_lines(logs.cron_lines(p)).select("user", "command", "start", "end")
 
 
 @query("unit_runs", """

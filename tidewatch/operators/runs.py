@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.tables import written
+
 NEAR_S = 5
 
 
@@ -21,42 +23,100 @@ def _placed(df: DataFrame) -> DataFrame:
     return d.withColumn("at", F.struct("ts", (F.col("src") if "src" in df.columns else F.col("source")).alias("src"), "lineno"))
 
 
+def _neighbour(order, here):
+    """The nearest session line of a pid before (or, by a falling order, after) each line."""
+    line = F.when(F.col("action").isNotNull(), F.struct("at", "action", "id"))
+    return F.last(line, ignorenulls=True).over(here.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _serve(frames):
+    """Commands of a sorted partition, each with the session it gets of those its user opened in its slot and the one before.
+
+    Slots are ordered by (scan, user, slot); the lines of a slot are those of it and of the one before
+    (`now` false). A command prefers the newest second and in it the first session, and gets none of an
+    earlier slot before its own slot's are gone; so the slot before is settled without any other.
+    """
+    slot, seconds, gone = None, {}, set()
+    for f in frames:
+        out = []
+        for key, now, sec, kind, id_, end in zip(zip(f["scan"], f["user"], f["slot"]), f["now"], f["sec"], f["kind"], f["id"], f["end"]):
+            if key != slot:
+                slot, seconds, gone = key, {}, set()
+            if kind == "open":
+                seconds.setdefault(sec, deque()).append((id_, end))
+            elif kind == "gone":
+                gone.add(id_)
+            else:
+                got = None
+                for s in sorted((s for s in seconds if sec - NEAR_S <= s and (now or s // NEAR_S == sec // NEAR_S)), reverse=True):
+                    line = seconds[s]
+                    while line and line[0][0] in gone:
+                        line.popleft()
+                    if line:
+                        got = line.popleft()
+                        break
+                if now and got:
+                    out.append((key[0], id_, *got))
+        yield pd.DataFrame(out, columns=["scan", "id", "session", "end"])
+
+
 def pair_sessions(commands: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(scan, source, lineno, pid, user, command, start, end) of cron commands, each closed by its session.
+    """(scan, source, lineno, pid, user, command, start, end) of cron commands, each closed by its session; see pair_lines."""
+    return pair_lines(commands.unionByName(sessions, allowMissingColumns=True))
+
+
+def pair_lines(lines: DataFrame) -> DataFrame:
+    """(scan, source, lineno, pid, user, command, start, end) of the commands among cron's lines (logs.cron_lines).
 
     A session lasts from its opening to the next session line of its pid, in whatever file that is. A
     command prefers the session of its own pid, then those its user opened at most NEAR_S before, the
-    newest first. Sessions serve one command each, earlier commands choose first: commands whose
-    choices can touch are settled together, the others by themselves. Without a session the end is null.
+    newest first. Sessions serve one command each, earlier commands choose first. Without a session the
+    end is null.
+
+    Commands propose and sessions keep the earliest asker. Those with a session of their pid ask it
+    first, and of one session's askers the earliest holds it from then on, so to others it is gone by
+    that time. All other commands are served per (scan, user, slot of NEAR_S) from sorted partitions;
+    only the slot before matters, so a user's lines are cut every NEAR_S and never read as a whole. If
+    a session went to a command earlier than its holder, the holder asks again with the others. That
+    moves holders one way only, so rounds end; one is the rule, as holders come right after openings.
     """
-    by_pid = Window.partitionBy("scan", "pid").orderBy("at")
-    s = _placed(sessions).withColumn("gone", F.lead("at").over(by_pid)).withColumn("next", F.lead("action").over(by_pid))
-    s = s.where("action = 'opened'").select("scan", F.col("pid").alias("s_pid"), F.col("user").alias("s_user"), F.col("ts").alias("opened"), F.col("at").alias("open"), "gone",
-                                            F.when(F.col("next") == "closed", F.col("gone.ts")).alias("end"))
-    c = _placed(commands)
-    sec = lambda x: F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), x)
-    live = (F.col("open") < F.col("at")) & (F.col("gone").isNull() | (F.col("at") < F.col("gone")))
-    key = c.select("scan", "at", "pid", "user", F.floor(sec(F.col("ts")) / NEAR_S).alias("slot"), "ts")
-    mine = key.join(s.withColumnRenamed("s_pid", "pid"), ["scan", "pid"]).where(live).select("scan", "at", F.lit(0).alias("far"), "open", "end", "opened")
-    # a session can be near in the slot of its opening and in the next one
-    near = s.withColumn("slot", F.explode(F.array(F.floor(sec(F.col("opened")) / NEAR_S), F.floor(sec(F.col("opened")) / NEAR_S) + 1))).withColumnRenamed("s_user", "user")
-    near = key.drop("pid").join(near, ["scan", "user", "slot"]).where(live & (F.timestamp_diff("SECOND", "opened", "ts").between(0, NEAR_S)))
-    near = near.select("scan", "at", F.lit(1).alias("far"), "open", "end", "opened")
-    wish = F.struct("far", (-sec(F.col("opened"))).alias("age"), "open", "end")
-    wishes = mine.unionByName(near).groupBy("scan", "at").agg(F.array_sort(F.collect_list(wish)).alias("wishes"), F.min("open").alias("lo"))
-    # commands are settled together from the earliest session any of them or a later one may choose
-    back = Window.partitionBy("scan").orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    w = Window.partitionBy("scan").orderBy("at")
-    d = wishes.withColumn("least", F.min("lo").over(back)).withColumn("cut", F.coalesce((F.col("least") > F.lag("at").over(w)).cast("int"), F.lit(1)))
-    d = d.withColumn("island", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    island = d.groupBy("scan", "island").agg(F.array_sort(F.collect_list(F.struct("at", "wishes"))).alias("cs"))
-    none = "filter(array(cs[0].wishes[0]), x -> false)"
-    settled = island.withColumn("got", F.expr(f"""aggregate(cs, named_struct('taken', transform({none}, x -> x.open), 'out', transform({none}, x -> named_struct('at', cs[0].at, 'end', x.end))),
-        (a, c) -> transform(array(get(filter(c.wishes, w -> not array_contains(a.taken, w.open)), 0)),
-          w -> named_struct('taken', if(w is null, a.taken, array_append(a.taken, w.open)),
-                            'out', if(w is null, a.out, array_append(a.out, named_struct('at', c.at, 'end', w.end)))))[0]).out"""))
-    ends = settled.select("scan", F.explode("got").alias("g")).select("scan", "g.at", "g.end")
-    return c.join(ends, ["scan", "at"], "left").select("scan", "source", "lineno", "pid", "user", "command", F.col("ts").alias("start"), "end")
+    d = _placed(lines).withColumn("id", F.concat_ws(":", F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.col("at.src").cast("string"), F.col("lineno").cast("string")))
+    d = d.withColumn("sec", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts"))
+    d = d.select("scan", "source", "lineno", "pid", "user", "command", "action", "ts", "at", "id", "sec")
+    pid = Window.partitionBy("scan", "pid")
+    known = d.where("pid is not null").withColumn("_before", _neighbour(F.col("at"), pid)).withColumn("_after", _neighbour(F.col("at").desc(), pid))
+    known = known.withColumn("own", F.when(F.col("action").isNull() & (F.col("_before.action") == "opened"), F.col("_before.id")))
+    ends = F.when(F.col("_after.action") == "closed", F.col("_after.at.ts"))
+    known = known.withColumn("end", F.when(F.col("own").isNotNull() | (F.col("action") == "opened"), ends)).withColumn("gone", F.col("_after.at")).drop("_before", "_after")
+    d = written(known.unionByName(d.where("pid is null"), allowMissingColumns=True).where("action is null or action = 'opened'"))
+    command, opened = d.where("action is null"), d.where("action = 'opened'")
+    holder = command.where("own is not null").groupBy("scan", "own").agg(F.min(F.struct("at", "id", "end")).alias("h")).select(
+        "scan", F.col("own").alias("session"), "h.at", "h.id", "h.end")
+    lost = d.sparkSession.createDataFrame([], "scan string, id string").select(F.col("scan").cast(d.schema["scan"].dataType), "id")
+    while True:
+        held = holder.join(lost, ["scan", "id"], "left_anti")
+        asking = command.join(held.select("scan", "id"), ["scan", "id"], "left_anti")
+        if asking.isEmpty():
+            got = held.select("scan", "id", "session", "end")
+            break
+        until = opened.select("scan", "user", "id", "sec", "at", "end", "gone").join(held.select("scan", F.col("session").alias("id"), F.col("at").alias("hold")), ["scan", "id"], "left")
+        until = until.withColumn("until", F.least("gone", "hold"))
+        event = lambda df, kind, at: df.select("scan", "user", "sec", F.col(at).alias("at"), F.lit(kind).alias("kind"), "id", "end", F.floor(F.col("sec") / NEAR_S).alias("first"))
+        asks = event(asking.withColumn("end", F.lit(None).cast("timestamp_ntz")), "ask", "at")
+        ev = event(until, "open", "at").unionByName(event(until.where("until is not null"), "gone", "until")).unionByName(asks)
+        ev = ev.select("*", F.posexplode(F.array(F.col("first"), F.col("first") + 1)).alias("later", "slot"))
+        # of its own slot's lines a command is in that slot; `gone` may come at any time
+        ev = ev.withColumn("now", F.col("later") == 0).where("kind <> 'gone' or at.ts < timestampadd(second, 10, timestamp_ntz '1970-01-01' + make_dt_interval(0, 0, 0, first * 5))")
+        # a slot without a command needs no sessions
+        ev = ev.join(asks.select("scan", "user", F.col("first").alias("slot")).distinct(), ["scan", "user", "slot"], "left_semi")
+        ev = ev.repartition("scan", "user", "slot").sortWithinPartitions("scan", "user", "slot", "at", "kind").select("scan", "user", "slot", "now", "sec", "kind", "id", "end")
+        took = written(ev.mapInPandas(_serve, f"scan {dict(d.dtypes)['scan']}, id string, session string, end timestamp_ntz"))
+        more = held.join(took.select("scan", "session"), ["scan", "session"], "left_semi").select("scan", "id")
+        if more.isEmpty():
+            got = held.select("scan", "id", "session", "end").unionByName(took)
+            break
+        lost = written(lost.unionByName(more))
+    return command.drop("end").join(got.select("scan", "id", "end"), ["scan", "id"], "left").select("scan", "source", "lineno", "pid", "user", "command", F.col("ts").alias("start"), "end")
 
 
 def _assign(f: pd.DataFrame) -> pd.DataFrame:

@@ -298,7 +298,7 @@ def scan(spark: SparkSession, opt: Options) -> Result:
         warnings.append(Warned("empty-window", f"a window of {int(span)}s ({start} - {end}) leaves nothing to judge at a tolerance of {int(opt.tolerance)}s", True))
 
     dim = spark.createDataFrame([(j.ord, j.id, j.source, j.schedule, j.origin, j.user, j.command, j.unit, j.timer, j.tolerance) for j in jobs], JOB)
-    cron_runs = runs_.pair_sessions(logs.cron_commands(parsed), logs.sessions(parsed)).cache()
+    cron_runs = runs_.pair_lines(logs.cron_lines(parsed)).cache()
     matched, lost = match(cron_runs, dim)
     nothing = _compare(jobs, matched, lost, cron_runs, opt, understood, diagnostics)
 
