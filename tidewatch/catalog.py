@@ -160,6 +160,42 @@ def unit_runs(spark, sf_dir):
     return runs_.unit_runs(logs.unit_events(logs.parse(lines, "2024-12-31 00:00:00"), d)).select("unit", "start", "end", "exit_code", "result")
 
 
+@query("one_unit_runs", """
+SELECT date_trunc('second', ts) AS start, date_trunc('second', ts) + INTERVAL 600 SECOND AS "end", CAST(event_id % 3 AS INT) AS exit_code, CASE WHEN event_id % 3 = 0 THEN 'success' END AS result FROM events""")
+def one_unit_runs(spark, sf_dir):
+    """All events are runs of one unit, which is open many times at once; the oldest run ends first."""
+    lines = _lines(spark, sf_dir, ("a", F.lit(0), F.lit("systemd[1]: Starting all.service - Everything...")),
+                   ("a", F.lit(600), F.concat(F.lit("systemd[1]: all.service: Main process exited, code=exited, status="), F.expr("cast(ord % 3 as string)"), F.lit("/X"))))
+    return runs_.unit_runs(logs.unit_events(logs.parse(lines, "2024-12-31 00:00:00"))).select("start", "end", "exit_code", "result")
+
+
+#: Seconds and messages of a unit's lines (%s is its name), by event_id % 3.
+_STORIES = (
+    ((0, "Starting %s - Job..."), (1, "Started %s - Job."), (1, "Starting %s - Job..."), (60, "%s: Deactivated successfully."), (62, "%s: Main process exited, code=exited, status=5/X"),
+     (70, "%s: Main process exited, code=killed, status=9/KILL"), (75, "%s: Failed with result 'signal'.")),
+    ((0, "Starting %s - Job..."), (1, "Started %s - Job."), (30, "Starting %s - Job..."), (100, "%s: Main process exited, code=exited, status=3/X"), (101, "%s: Failed with result 'exit-code'."),
+     (200, "%s: Deactivated successfully."), (300, "%s: Failed with result 'timeout'.")),
+    ((60, "Failed to start %s - Job."), (80, "Started %s - Job."), (100, "%s: Main process exited, code=exited, status=1/X"), (104, "%s: Failed with result 'signal'."), (200, "Started %s - Job.")),
+)
+
+
+@query("unit_run_details", """
+WITH e AS (SELECT event_id AS k, date_trunc('second', ts) AS t FROM events),
+ r(n, s, e, code, result) AS (VALUES (1, 0, 101, 3, 'exit-code'), (1, 30, 200, 0, 'success'), (1, 300, 300, NULL, 'timeout'),
+  (2, 60, 60, NULL, 'failed-to-start'), (2, 80, 104, 1, 'signal'), (2, 200, NULL, NULL, NULL),
+  (0, 0, 60, 0, 'success'), (0, 1, 62, 5, NULL), (0, 70, 75, NULL, 'killed/9'))
+SELECT 'k' || k || '.service' AS unit, t + to_seconds(CAST(s AS BIGINT)) AS start, t + to_seconds(CAST(r.e AS BIGINT)) AS "end", CAST(code AS INT) AS exit_code, result FROM e JOIN r ON e.k % 3 = r.n""")
+def unit_run_details(spark, sf_dir):
+    """Per event a unit whose runs overlap, end in several lines, or end without a start."""
+    r = surrogate.runs(spark, sf_dir)
+    unit = F.concat(F.lit("k"), F.col("ord").cast("string"), F.lit(".service"))
+    lines = F.array(*[F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).alias("m")) for s, m in story]) for story in _STORIES])
+    d = r.select("ord", "start", F.posexplode(F.get(lines, (F.col("ord") % 3).cast("int"))).alias("nth", "l"))
+    value = F.concat(F.date_format(F.timestamp_add("SECOND", "l.s", F.col("start")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0200 host systemd[1]: "), F.replace("l.m", F.lit("%s"), unit))
+    d = d.select(F.lit("a").alias("source"), (F.col("ord") * 10 + F.col("nth")).alias("lineno"), value.alias("value"))
+    return runs_.unit_runs(logs.unit_events(logs.parse(d, "2024-12-31 00:00:00"))).select("unit", "start", "end", "exit_code", "result")
+
+
 @query("log_totals", """SELECT min(date_trunc('second', ts)) AS "first", max(date_trunc('second', ts)) AS "last", CAST(count(*) + 4 AS BIGINT) AS lines, count(*) AS understood FROM events""")
 def log_totals(spark, sf_dir):
     lines = _lines(spark, sf_dir, ("a", F.lit(0), F.concat(F.lit("CRON["), F.col("ord").cast("string"), F.lit("]: (x) CMD (y)"))))

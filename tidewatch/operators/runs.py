@@ -1,4 +1,4 @@
-"""Runs from ordered events: cron commands closed by their sessions, and start and end events of units.
+"""Runs of cron commands, closed by their sessions.
 
 The merged stream is ordered by (ts, source, line), within a `scan` (one machine, say) where the
 tables have that column.
@@ -10,9 +10,9 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.tables import written
+from .unitruns import unit_runs  # noqa: F401
 
 NEAR_S = 5
 
@@ -117,55 +117,3 @@ def pair_lines(lines: DataFrame) -> DataFrame:
             break
         lost = written(lost.unionByName(more))
     return command.drop("end").join(got.select("scan", "id", "end"), ["scan", "id"], "left").select("scan", "source", "lineno", "pid", "user", "command", F.col("ts").alias("start"), "end")
-
-
-def _assign(f: pd.DataFrame) -> pd.DataFrame:
-    """Numbers the runs of one unit and gives every event the run it speaks of, 0 for none."""
-    f = f.sort_values(["ts", "src", "lineno"], kind="stable")
-    live, unready, run, last = deque(), deque(), [], None
-    n = 0  # runs so far; last: [number, time, exit code known, verdict other than success] of the run that ended last
-    for e in f.itertuples(index=False):
-        coded, verdict = not pd.isna(e.exit_code), e.result if isinstance(e.result, str) else None
-        if e.kind == "started" and unready:
-            unready.popleft()
-            run.append(0)
-        elif e.kind in ("start", "started"):
-            n += 1
-            live.append(n)
-            unready.extend([n] * (e.kind == "start"))
-            run.append(n)
-        else:
-            news = last and (not last[2] if coded else not last[3] if verdict else True)
-            if not (last and (e.ts - last[1]).total_seconds() <= NEAR_S and (news or not live)):
-                if not live:
-                    n += 1
-                last = [live.popleft() if live else n, e.ts, False, False]
-                if unready and unready[0] == last[0]:
-                    unready.popleft()
-            last = [last[0], e.ts, last[2] or coded, last[3] or verdict not in (None, "success")]
-            run.append(last[0])
-    return f.assign(run=run)
-
-
-def unit_runs(events: DataFrame) -> DataFrame:
-    """(scan, unit, start, end, exit_code, result) from unit_events (unit, ts, lineno, kind, exit_code, result).
-
-    A start opens a run; `started` confirms the oldest unconfirmed one or opens one. An ending event
-    belongs to the run that ended at most NEAR_S before, where no run is open or it tells something new;
-    else it ends the oldest open run, or is a run without length. A run ends with its last ending event,
-    has the first exit code given, and the first verdict other than success; success is implied by a
-    finish without a failing exit code before it. The events of one unit of a scan are one group.
-    """
-    d = _placed(events.where("unit is not null").withColumn("source", F.col("source") if "source" in events.columns else F.lit("")))
-    d = d.select("scan", "unit", "ts", F.col("at.src").cast("string").alias("src") if "src" not in events.columns else F.col("src"), "lineno", "kind", "exit_code", "result")
-    kind = StructType([*d.schema.fields, StructField("run", LongType())])
-    d = d.groupBy("scan", "unit").applyInPandas(_assign, kind).where("run > 0")
-    at, ends = F.struct("ts", "src", "lineno"), F.col("kind").isin("finish", "fail")
-    coded = F.when(F.col("exit_code").isNotNull(), at)
-    r = d.groupBy("scan", "unit", "run").agg(
-        F.min("ts").alias("start"), F.max(F.when(ends, F.col("ts"))).alias("end"), F.min_by("exit_code", coded).alias("exit_code"), F.min(coded).alias("_coded"),
-        F.min_by("result", F.when(F.col("result") != "success", at)).alias("_bad"), F.max(F.coalesce(F.col("result") == "success", F.lit(False))).alias("_good"),
-        F.min(F.when(F.col("kind") == "finish", at)).alias("_finish"))
-    fine = F.col("_finish").isNotNull() & (F.col("exit_code").isNull() | (F.col("exit_code") == 0) | (F.col("_finish") < F.col("_coded")))
-    result = F.coalesce("_bad", F.when(F.col("_good") | F.coalesce(fine, F.lit(False)), "success"))
-    return r.select("scan", "unit", "start", "end", "exit_code", result.alias("result"))
