@@ -73,7 +73,7 @@ def test_a_unit_that_never_ends_needs_one_walk(spark, monkeypatch):
     real = unitruns.written
     monkeypatch.setattr(unitruns, "written", lambda df: walks.append(1) or real(df))
     found(spark, rows[:200])
-    assert len(walks) == 3  # segments, summaries and one chain
+    assert len(walks) == 4  # events, segments, summaries and one chain
 
 
 def test_a_unit_that_is_always_open_needs_one_walk_more(spark, monkeypatch):
@@ -85,7 +85,7 @@ def test_a_unit_that_is_always_open_needs_one_walk_more(spark, monkeypatch):
     walks, real = [], unitruns.written
     monkeypatch.setattr(unitruns, "written", lambda df: walks.append(1) or real(df))
     assert found(spark, rows) == expected(rows)
-    assert len(walks) <= 7
+    assert len(walks) <= 8
 
 
 def test_no_events(spark):

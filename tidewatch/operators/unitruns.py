@@ -24,7 +24,7 @@ from ..functions.tables import written
 
 #: Seconds after a run's end in which an ending event still speaks of that run.
 NEAR_US = 5_000_000
-SEGMENT = 16_384
+SEGMENT = 16_384  # 65,536 at most
 #: No time; and more open runs than any segment ends.
 NEVER, MANY = 1 << 62, 1 << 40
 
@@ -64,7 +64,7 @@ def _walk(kinds, times, codes, results, state, counts=(0, 0, 0), last=0):
             opened, open_, fresh = opened + 1, open_ + 1, fresh + (kind == "start")
             run.append(opened)
             continue
-        has_code, has_result = not pd.isna(code), isinstance(result, str)
+        has_code, has_result = code is not None and code == code, isinstance(result, str)
         near = end != NEVER and t - end <= NEAR_US
         fits = near and (not coded if has_code else not bad if has_result else True)
         if not fits:
@@ -174,7 +174,7 @@ def unit_runs(events: DataFrame) -> DataFrame:
     # a scan's own type is kept for the result
     scan = d.select(F.col("scan") if "scan" in has else F.lit(0).alias("scan")).schema["scan"].dataType
     d = d.select((F.col("scan") if "scan" in has else F.lit(0)).cast("string").alias("scan"), "unit", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.struct(*place, "lineno").alias("at"), "kind", F.col("exit_code").cast("int").alias("exit_code"), "result")
-    order = ["scan", "unit", "us", "at"]
+    d, order = written(d), ["scan", "unit", "us", "at"]  # ranges are sampled before events are dealt out
     segments = written(d.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_cut, f"{_KEY}, {_EVENTS}, whole boolean"))
     key, parts = ["scan", "unit", "part", "seq"], segments.where("not whole")
     walked = written(parts.mapInPandas(lambda frames: _summaries(frames, False), _SUMMARY))
@@ -190,7 +190,7 @@ def unit_runs(events: DataFrame) -> DataFrame:
     ready = segments.where("whole").drop("whole").select("*", *first).unionByName(parts.drop("whole").join(chained.drop("holds"), key))
     labelled = ready.mapInPandas(_label, f"{_KEY}, {_EVENTS}, run array<long>")
     d = labelled.select("scan", "unit", "part", "seq", F.posexplode(F.arrays_zip("ts", "kind", "exit_code", "result", "run")).alias("nth", "e"))
-    d = d.select("scan", "unit", F.struct("part", "seq", "nth").alias("at"), F.timestamp_micros("e.ts").cast("timestamp_ntz").alias("ts"), "e.kind", "e.exit_code", "e.result", "e.run").where("run <> 0")
+    d = d.select("scan", "unit", F.expr("shiftleft(cast(part as bigint), 40) + shiftleft(cast(seq as bigint), 16) + nth").alias("at"), "e.ts", "e.kind", "e.exit_code", "e.result", "e.run").where("run <> 0")
     ends, coded = F.col("kind").isin("finish", "fail"), F.when(F.col("exit_code").isNotNull(), F.col("at"))
     r = d.groupBy("scan", "unit", "run").agg(
         F.min("ts").alias("start"), F.max(F.when(ends, F.col("ts"))).alias("end"), F.min_by("exit_code", coded).alias("exit_code"), F.min(coded).alias("_coded"),
@@ -198,4 +198,5 @@ def unit_runs(events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("kind") == "finish", F.col("at"))).alias("_finish"))
     fine = F.col("_finish").isNotNull() & (F.col("exit_code").isNull() | (F.col("exit_code") == 0) | (F.col("_finish") < F.col("_coded")))
     result = F.coalesce("_bad", F.when(F.col("_good") | F.coalesce(fine, F.lit(False)), "success"))
-    return r.select(F.col("scan").cast(scan).alias("scan"), "unit", "start", "end", "exit_code", result.alias("result"))
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return r.select(F.col("scan").cast(scan).alias("scan"), "unit", time("start"), time("end"), "exit_code", result.alias("result"))
