@@ -4,7 +4,6 @@ The `events` table stands for runs: user_id is the job, ts the start, and int(va
 """
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import calendar, cron, schedule
@@ -79,7 +78,9 @@ def _as_log(spark, sf_dir, stamp: str):
     """The events as cron's log lines, one source per event type, in time order."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     line = F.concat(F.date_format("ts", stamp), F.lit(" host CRON["), F.col("event_id"), F.lit("]: (u"), F.col("user_id"), F.lit(") CMD (run "), F.col("event_type"), F.lit(")"))
-    return ev.select(F.col("event_type").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("lineno"), line.alias("value"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # a block is what a byte range of a file would be
+    return ev.select(F.col("event_type").alias("source"), us.alias("lineno"), F.floor(us / 86_400_000_000).alias("block"), line.alias("value"))
 
 
 _COMMANDS = """SELECT 'u' || user_id AS "user", 'run ' || event_type AS command, date_trunc('second', ts) AS start FROM events"""
@@ -202,24 +203,28 @@ def log_totals(spark, sf_dir):
     return logs.totals(logs.parse(lines, "2024-12-31 00:00:00"))
 
 
-@query("implausible_logs", """
-WITH d AS (SELECT 's' || o_custkey % 7 AS source, CAST(o_orderdate AS DATE) AS d, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) AS n FROM orders WHERE year(o_orderdate) = 1997)
+_ORDER_DAY = "make_date({y}, month(o_orderdate), CASE WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN 28 ELSE day(o_orderdate) END)"
+
+
+@query("implausible_logs", f"""
+WITH d AS (SELECT 's' || o_custkey || '-' || year(o_orderdate) AS source, {_ORDER_DAY.format(y=2001)} AS d FROM orders)
 SELECT source, CAST(min(d) AS TIMESTAMP) AS "first", CAST(max(d) AS TIMESTAMP) AS "last", count(*) AS lines, CAST(date_diff('day', min(d), max(d)) AS BIGINT) AS span_days FROM d
-WHERE n <= CASE source WHEN 's0' THEN 1000000 ELSE 200 END GROUP BY source HAVING date_diff('day', min(d), max(d)) > 300 AND count(*) < date_diff('day', min(d), max(d))""")
+GROUP BY source HAVING date_diff('day', min(d), max(d)) > 300 AND count(*) < date_diff('day', min(d), max(d))""")
 def implausible_logs(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/orders.parquet").where("year(o_orderdate) = 1997").select(F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string")).alias("source"), F.to_date("o_orderdate").alias("d"), "o_orderkey")
-    n = F.row_number().over(Window.partitionBy("source").orderBy("o_orderkey"))
-    d = d.withColumn("n", n).where("n <= if(source = 's0', 1000000, 200)")
-    lineno = F.row_number().over(Window.partitionBy("source").orderBy("d", "o_orderkey")).cast("long")
-    lines = d.select("source", lineno.alias("lineno"), F.concat(F.date_format("d", "MMM d"), F.lit(" 00:00:00 host CRON[1]: x")).alias("value"))
-    return logs.implausible(logs.parse(lines, "1997-12-31 23:00:00"))
+    """A source for the orders of every customer and year; few lines far apart."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"))
+    source = F.concat(F.lit("s"), F.col("o_custkey").cast("string"), F.lit("-"), F.year("d").cast("string"))
+    lines = o.select(source.alias("source"), logs.place(F.unix_date("d"), F.col("o_orderkey")).alias("lineno"), F.lit(0).alias("block"), F.concat(F.date_format("d", "MMM d"), F.lit(" 00:00:00 host CRON[1]: x")).alias("value"))
+    return logs.implausible(logs.parse(lines, "2001-12-31 23:00:00"))
 
 
-@query("year_rollover", """SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ts FROM orders WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1998-06-01'""")
+@query("year_rollover", f"""SELECT o_orderkey AS "order", CAST({_ORDER_DAY.format(y="year(o_orderdate)")} AS TIMESTAMP) AS ts FROM orders""")
 def year_rollover(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderdate >= '1996-07-01' and o_orderdate < '1998-06-01'").select(F.to_date("o_orderdate").alias("d")).distinct()
-    lines = d.select(F.lit("a").alias("source"), F.unix_date("d").cast("long").alias("lineno"), F.concat(F.date_format("d", "MMM d"), F.lit(" 00:00:00 host CRON[1]: x")).alias("value"))
-    return logs.parse(lines, "1998-06-01 00:00:00").select("ts")
+    """All orders are lines of one source, over all their years and in blocks of a hundred days; 29 February comes in years that are dated by others first."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    value = F.concat(F.date_format("d", "MMM d"), F.lit(" 00:00:00 host CRON["), F.col("o_orderkey").cast("string"), F.lit("]: x"))
+    lines = o.select(F.lit("a").alias("source"), logs.place(F.unix_date("d"), F.col("o_orderkey")).alias("lineno"), F.floor(F.unix_date("d") / 100).alias("block"), value.alias("value"))
+    return logs.parse(lines, "2001-08-02 00:00:00").select(F.col("pid").alias("order"), "ts")
 
 
 def _jobs(spark, sf_dir):

@@ -209,9 +209,9 @@ def _read_logs(spark, opt, jobs, diagnostics):
                 names.append(path)
         except OSError as e:
             diagnostics.append(Diagnostic(None, f"cannot read log file ({e.strerror or e})", path))
-    kind = "source string, src int, lineno long, value string"
+    kind = "source string, src int, lineno struct<block:bigint,row:bigint>, block bigint, value string"
     for k, path in enumerate(names):
-        parts.append(crontab.read_text(spark, [path]).select(F.lit(path).alias("source"), F.lit(k).alias("src"), "lineno", "value"))
+        parts.append(logs.read(spark, path).select(F.lit(path).alias("source"), F.lit(k).alias("src"), "lineno", "block", "value"))
     if opt.journal:
         since, until = opt.since or opt.now - timedelta(hours=24), opt.until or opt.now
         services = sorted({j.unit for j in jobs if j.source == SYSTEMD and j.unit})
@@ -219,7 +219,7 @@ def _read_logs(spark, opt, jobs, diagnostics):
         for name, args in wanted:
             text, problem = live.journal(args, since, until, opt.run)
             diagnostics += [Diagnostic(None, p) for p in problem]
-            parts.append(spark.createDataFrame([(name, len(parts), n, x) for n, x in enumerate(text, 1)], kind))
+            parts.append(spark.createDataFrame([(name, len(parts), (0, n), 0, x) for n, x in enumerate(text, 1)], kind))
         names.append("journalctl")
     out = spark.createDataFrame([], kind)
     for p in parts:
@@ -277,7 +277,7 @@ def scan(spark: SparkSession, opt: Options) -> Result:
         warnings.append(Warned("no-schedules", f"nothing is scheduled in {seen}"))
 
     lines, sources["logs"] = _read_logs(spark, opt, jobs, diagnostics)
-    parsed = logs.parse(lines, str(opt.now)).cache()
+    parsed = logs.parse(lines, str(opt.now))
     first, last, total, understood = logs.totals(parsed).first()
     if not understood:
         where = ", ".join(sources["logs"])
