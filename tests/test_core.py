@@ -32,3 +32,11 @@ def test_bad_expressions(bad):
 
 def test_fields():
     assert cron.parse("10/20 0 * jan,mar 5-7") == ([10, 30, 50], [0], list(range(1, 32)), [1, 3], [0, 5, 6], True, False)
+
+
+def test_names_of_users_and_files():
+    from tidewatch.sources.crontab import _is_name, _left_over
+
+    assert [w for w in ("bob", "_x-1", "a.b", "www-data$", "Bob", "1a", "$", "", "a$b", "é") if _is_name(w, True)] == ["bob", "_x-1", "a.b", "www-data$"]
+    assert not _is_name("a.b", False) and _is_name("a-b", False)
+    assert [f for f in ("x", "x.dpkg-old", "x.rpmnew", "x~", "x.bak", "x.swp", "dpkg", "x.dpkg-old.y", "rpm.x") if _left_over(f)] == ["x.dpkg-old", "x.rpmnew", "x~", "x.bak", "x.swp"]

@@ -7,7 +7,7 @@ import pytest
 from tidewatch import cli
 from tidewatch.plans import report
 from tidewatch.plans.scan import Options, scan
-from tidewatch.sources import crontab
+from tidewatch.sources import crontab, live
 
 NOW = datetime(2026, 5, 4, 12)
 TAB = "# jobs\nMAILTO=x\n0 * * * * root /opt/sync  -a\n30 2 * * * root /opt/nightly | tee `date`\n0 */2 * * * root /opt/sync -a\nCRON_TZ=UTC\nbroken\n"
@@ -117,12 +117,14 @@ def test_discovery_and_live_sources(spark, tmp_path):
 
     def host(argv, timeout):
         if argv[:2] == ["systemctl", "list-units"]:
-            return 0, "push.timer loaded active\n", ""
+            return ["push.timer loaded active"]
         if argv[:2] == ["systemctl", "show"]:
-            return 0, SHOW, ""
-        return (0, cron_log([1]).replace("/opt/sync -a", "/bin/c").replace("root", "eve"), "") if "-t" in argv else (1, "", "no access")
+            return SHOW.splitlines()
+        if "-u" in argv:
+            raise live.Silent("no access")
+        return cron_log([1]).replace("/opt/sync -a", "/bin/c").replace("root", "eve").splitlines()
 
-    r = scan(spark, Options(discover=True, journal=True, now=NOW, root=str(tmp_path), run=host))
+    r = scan(spark, Options(discover=True, journal=True, now=NOW, root=str(tmp_path), ask=host))
     assert [(j.source, j.user, j.command, j.timer) for j in r.jobs][:3] == [("cron", "root", "/bin/a", None), ("cron", "www", "/bin/b", None), ("cron", "eve", "/bin/c", None)]
     assert {j.timer for j in r.jobs[3:]} == {"push.timer", "zoned.timer"} and r.end == NOW and [len(j.runs) for j in r.jobs[:3]] == [0, 0, 1]
     assert any("no access" in d.message for d in r.diagnostics) and r.sources["systemctl_show"] == ["systemctl show (live)"]

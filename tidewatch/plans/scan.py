@@ -40,7 +40,7 @@ class Options:
     ignore: frozenset = frozenset()
     now: datetime = field(default_factory=lambda: datetime.now().replace(microsecond=0))
     root: str = ""
-    run: object = live.run
+    ask: object = live.ask
 
 
 @dataclass
@@ -217,8 +217,11 @@ def _read_logs(spark, opt, jobs, diagnostics):
         services = sorted({j.unit for j in jobs if j.source == SYSTEMD and j.unit})
         wanted = [("journalctl (cron)", [x for i in logs.journal_identifiers() for x in ("-t", i)])] + [("journalctl (units)", [x for u in services for x in ("-u", u)])] * bool(services)
         for name, args in wanted:
-            text, problem = live.journal(args, since, until, opt.run)
-            diagnostics += [Diagnostic(None, p) for p in problem]
+            try:
+                text = live.journal(args, since, until, opt.ask)
+            except live.Silent as e:
+                text = []
+                diagnostics.append(Diagnostic(None, str(e)))
             parts.append(spark.createDataFrame([(name, len(parts), (0, n), 0, x) for n, x in enumerate(text, 1)], kind))
         names.append("journalctl")
     out = spark.createDataFrame([], kind)
@@ -249,12 +252,12 @@ def scan(spark: SparkSession, opt: Options) -> Result:
     states = None
     shown = [(p, None) for p in opt.shows]
     if opt.discover:
-        names, problems = live.timers(opt.run)
-        diagnostics += [Diagnostic(None, p) for p in problems]
-        if names:
-            text, problems = live.show(sorted({*names, *(n[:-6] + ".service" for n in names)}), opt.run)
-            diagnostics += [Diagnostic(None, p) for p in problems]
-            shown.append(("systemctl show (live)", text))
+        try:
+            names = live.timers(opt.ask)
+            if names:
+                shown.append(("systemctl show (live)", live.show(names | {n.removesuffix("timer") + "service" for n in names}, opt.ask)))
+        except live.Silent as e:
+            diagnostics.append(Diagnostic(None, str(e)))
     for k, (path, text) in enumerate(shown):
         if text is None and not os.access(path, os.R_OK):
             diagnostics.append(Diagnostic(None, f"{path}: cannot read", path))
