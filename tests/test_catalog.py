@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     d = duckdb.connect()
-    for t in "events orders nation customer supplier".split():
+    for t in "events orders nation customer supplier part".split():
         d.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return d
 

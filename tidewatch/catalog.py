@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import calendar, cron, schedule
+from .functions import cron, expressions, schedule
 from .functions.text import duration
 from .operators import detect, runs as runs_
 from .plans import scan, surrogate
@@ -48,14 +48,45 @@ def run_totals(spark, sf_dir):
         F.max(F.timestamp_diff("SECOND", "start", "end")).alias("longest_s"))
 
 
-@query("cron_occurrences", """
-SELECT 1 AS job, CAST(t AS TIMESTAMP) AS due FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 15 MINUTE) s(t)
-UNION ALL SELECT 2, CAST(t AS TIMESTAMP) FROM generate_series(TIMESTAMP '2024-01-01 03:00', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) s(t)
- WHERE day(t) = 13 OR dayofweek(t) = 5""")
+_CRON_DUE = """WITH j AS (SELECT DISTINCT user_id AS job FROM events),
+ t AS (SELECT job, CAST(d + to_hours(h) + to_minutes(job % 60) AS TIMESTAMP) AS due, d, h FROM j, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) s(d), range(24) r(h)),
+ m AS (SELECT *, CASE job % 4 WHEN 0 THEN true WHEN 1 THEN day(d) <= 15 WHEN 2 THEN (day(d) - 1) % 3 = 0 ELSE day(d) IN (13, 20) END AS dom,
+  CASE job % 3 WHEN 0 THEN true WHEN 1 THEN dayofweek(d) BETWEEN 1 AND 5 ELSE dayofweek(d) = 0 END AS dow FROM t WHERE h % (2 + job % 5) = 0)
+SELECT job, due FROM m WHERE CASE WHEN job % 2 = 0 OR job % 3 = 0 THEN dom AND dow ELSE dom OR dow END AND due <= TIMESTAMP '2024-01-31'"""
+
+
+def _cron_jobs(spark, sf_dir):
+    """(job_id, dialect, expr): a cron expression for every user of the events."""
+    u = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job_id")).distinct()
+    return u.select("job_id", F.lit("cron").alias("dialect"), F.expr("""concat(job_id % 60, ' */', 2 + job_id % 5, ' ', element_at(array('*', '1-15', '*/3', '13,20'), cast(job_id % 4 as int) + 1), ' * ',
+        element_at(array('*', 'mon-fri', '7'), cast(job_id % 3 as int) + 1))""").alias("expr"))
+
+
+@query("cron_occurrences", _CRON_DUE)
 def cron_occurrences(spark, sf_dir):
-    rows = [(1, *cron.parse("*/15 * * * *")), (2, *cron.parse("0 3 13 * fri"))]
-    jobs = spark.createDataFrame(rows, "job_id int, " + cron.SCHEMA)
-    return cron.occurrences(jobs, "2024-01-01 00:00:00", "2024-01-31 00:00:00").select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
+    plans = expressions.plans(_cron_jobs(spark, sf_dir)).where("error is null")
+    return schedule.expand(plans, "2024-01-01 00:00:00", "2024-01-31 00:00:00").select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
+
+
+@query("occurrences_by_sql", _CRON_DUE)
+def occurrences_by_sql(spark, sf_dir):
+    """The same through the table function, in a lateral join."""
+    expressions.register(spark)
+    return spark.sql("""SELECT j.job_id AS job, o.ts AS due FROM {jobs} j, LATERAL expand_schedule(j.dialect, j.expr, timestamp_ntz '2024-01-01 00:00:00', timestamp_ntz '2024-01-31 00:00:00') o
+        WHERE o.problem IS NULL""", jobs=_cron_jobs(spark, sf_dir))
+
+
+@query("schedule_fields", """
+SELECT event_id, array_to_string(range(CAST(event_id % 30 AS BIGINT), CAST(event_id % 30 + event_id % 29 + 1 AS BIGINT), CAST(1 + event_id % 7 AS BIGINT)), ' ') AS minutes,
+ CASE event_id % 3 WHEN 0 THEN array_to_string(range(CAST(event_id % 24 AS BIGINT), 24, 5), ' ') WHEN 1 THEN '0 6 12 18' ELSE '3 ' || 4 + event_id % 20 END AS hours,
+ CASE event_id % 2 WHEN 0 THEN '2 3 5 12' ELSE '1 2 3 4 5 6 7 8 9 10 11 12' END AS months, CASE event_id % 4 WHEN 0 THEN '0 5 6' WHEN 1 THEN '0 1' ELSE '0 2 4 6' END AS dows FROM events""")
+def schedule_fields(spark, sf_dir):
+    """Ranges, steps, lists, names and Sunday as 7."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.lit("cron").alias("dialect"), F.expr("""concat(event_id % 30, '-', event_id % 30 + event_id % 29, '/', 1 + event_id % 7, ' ',
+        case event_id % 3 when 0 then concat(event_id % 24, '/5') when 1 then '*/6' else concat(4 + event_id % 20, ',3') end, ' * ', if(event_id % 2 = 0, 'feb,MAR,5,12', '*'), ' ',
+        case event_id % 4 when 0 then '5-7' when 1 then '7,1' else '*/2' end)""").alias("expr"))
+    p = expressions.plans(e)
+    return p.select("event_id", *[F.array_join(c, " ").alias(c) for c in ("minutes", "hours", "months", "dows")])
 
 
 @query("missed_hours", """
@@ -99,23 +130,29 @@ def log_cron_yearless(spark, sf_dir):
 
 
 @query("calendar_occurrences", """
-SELECT 1 AS job, CAST(t AS TIMESTAMP) AS due FROM generate_series(TIMESTAMP '2024-01-01 09:30', TIMESTAMP '2024-03-31 23:00', INTERVAL 1 DAY) s(t) WHERE dayofweek(t) IN (5, 6, 0, 1)
-UNION ALL SELECT 2, CAST(t AS TIMESTAMP) FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31 23:00', INTERVAL 30 SECOND) s(t)
- WHERE day(t) <= 5 AND day(t) % 2 = 1 AND hour(t) IN (4, 12) AND minute(t) = 15
-UNION ALL SELECT 3, CAST(t AS TIMESTAMP) FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31 23:00', INTERVAL 1 DAY) s(t) WHERE day(t) = 1 AND month(t) IN (1, 4, 7, 10)
-UNION ALL SELECT 4, TIMESTAMP '2024-02-29 00:00:00'""")
+WITH j AS (SELECT s_suppkey AS job, s_suppkey % 24 AS h, s_suppkey % 60 AS m, s_suppkey % 6 AS k FROM supplier),
+ d AS (SELECT CAST(d AS TIMESTAMP) AS d FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31', INTERVAL 1 DAY) s(d)),
+ t AS (SELECT job, k, d, d + to_hours(h) + to_minutes(m) AS due FROM j, d WHERE k IN (0, 4) UNION ALL SELECT job, k, d, d + to_hours(h) + to_minutes(x) FROM j, d, (SELECT unnest([0, 20, 40]) AS x) WHERE k = 1
+  UNION ALL SELECT job, k, d, d + to_hours(h) + to_minutes(m) + INTERVAL 30 SECOND FROM j, d WHERE k = 2 UNION ALL SELECT job, k, d, d FROM j, d WHERE k IN (3, 5))
+SELECT job, due FROM t WHERE CASE k WHEN 0 THEN dayofweek(d) BETWEEN 1 AND 5 WHEN 1 THEN dayofweek(d) IN (0, 6) WHEN 2 THEN day(d) IN (1, 3, 5, 7) WHEN 3 THEN day(d) = 1 AND month(d) IN (1, 4, 7, 10)
+ WHEN 4 THEN dayofweek(d) IN (5, 6, 0, 1) ELSE month(d) = 2 AND day(d) = 29 END AND due <= TIMESTAMP '2024-03-31 23:00'""")
 def calendar_occurrences(spark, sf_dir):
-    texts = ["Fri..Mon 09:30", "*-*-01..05/2 04,12:15:00/30", "quarterly", "2024-02-29", "2023-*-* 00:00", "*-*-* 00:00:60"]
-    rows = [(k, *calendar.common(t)) for k, t in enumerate(texts, 1)]
-    plans = spark.createDataFrame(rows, "job_id int, " + schedule.SCHEMA)
-    return schedule.expand(plans, "2024-01-01 00:00:00", "2024-03-31 23:00:00").select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
+    """A calendar expression for every supplier."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("job_id"), F.lit("systemd").alias("dialect"), F.expr("""case s_suppkey % 6
+        when 0 then concat('Mon..Fri *-*-* ', s_suppkey % 24, ':', s_suppkey % 60) when 1 then concat('sat,Sunday ', s_suppkey % 24, ':00/20') when 2 then concat('*-01..07/2 ', s_suppkey % 24, ':', s_suppkey % 60, ':30')
+        when 3 then 'quarterly' when 4 then concat('Fri..Mon ', s_suppkey % 24, ':', s_suppkey % 60) else '2024-02-29' end""").alias("expr"))
+    return schedule.expand(expressions.plans(s).where("error is null"), "2024-01-01 00:00:00", "2024-03-31 23:00:00").select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
 
 
-@query("refused_schedules", "SELECT 2 AS job UNION ALL SELECT 4")
+@query("refused_schedules", """
+SELECT p_partkey AS job, CASE WHEN p_partkey % 8 IN (1, 2, 4) THEN 'too often' WHEN p_partkey % 8 = 7 THEN 'zone' ELSE 'unreadable' END AS why FROM part WHERE p_partkey % 8 NOT IN (0, 3)""")
 def refused_schedules(spark, sf_dir):
-    plans = [(1, *cron.common("0 * * * *")), (2, *cron.common("* * * * *")), (3, *calendar.common("hourly")), (4, *calendar.common("Mon *:*:00/10"))]
-    d = spark.createDataFrame(plans, "job_id int, " + schedule.SCHEMA)
-    return schedule.refused(d, "2020-01-01 00:00:00", "2022-01-01 00:00:00").select(F.col("job_id").alias("job"))
+    """Expressions of the parts that cannot be judged over a year, and why."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("job_id"), F.expr("if(p_partkey % 8 < 4, 'cron', 'systemd')").alias("dialect"), F.expr("""element_at(array(
+        concat(p_partkey % 60, ' * * * *'), '* * * * *', '*/2 * * * *', '*/3 * * * *', 'Mon *:*:00/10', '*-*-* 25:00', '*-*~1', 'daily Europe/Paris'), cast(p_partkey % 8 as int) + 1)""").alias("expr"))
+    plans = expressions.plans(p)
+    over = schedule.refused(plans.where("error is null"), "2024-01-01 00:00:00", "2024-12-31 00:00:00").select(F.col("job_id").alias("job"), F.lit("too often").alias("why"))
+    return plans.where("error is not null").select(F.col("job_id").alias("job"), F.when(F.col("zone"), "zone").otherwise("unreadable").alias("why")).unionByName(over)
 
 
 def _lines(spark, sf_dir, *kinds):

@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import calendar, cron, schedule
+from ..functions import expressions, schedule
 from ..functions.text import one_space
 from ..operators import detect, runs as runs_
 from ..sources import crontab, live, logs, units
@@ -124,9 +124,9 @@ class Result:
         return int(bool(self.findings or self.warnings) and not exit_zero)
 
 
-def occurrences(spark: SparkSession, plans: list, start: datetime) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, refused ones) of plans (job_id, expression number, deadline, tolerance, *schedule.SCHEMA)."""
-    d = spark.createDataFrame(plans, "job int, nth int, deadline timestamp_ntz, tolerance double, " + schedule.SCHEMA).withColumn("job_id", F.struct("job", "nth", "tolerance"))
+def occurrences(plans: DataFrame, start: datetime) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, refused ones) of plans (job, nth expression, deadline, tolerance, schedule.SCHEMA)."""
+    d = plans.withColumn("job_id", F.struct("job", "nth", "tolerance"))
     out = schedule.expand(d, str(start), F.col("deadline")).select("job_id.job", "job_id.tolerance", "ts").distinct().withColumnRenamed("job", "job_id")
     return out, schedule.refused(d, str(start), F.col("deadline")).select("job_id.job", "job_id.nth")
 
@@ -312,8 +312,8 @@ def scan(spark: SparkSession, opt: Options) -> Result:
     for r in runs.orderBy("job_id", "start", "end").collect():
         jobs[r.job_id].runs.append(r)
 
-    plans, late_warnings = _plans(jobs, start, end, empty, diagnostics)
-    occ, over = occurrences(spark, plans, start)
+    plans, late_warnings = _plans(spark, jobs, start, end, empty, diagnostics)
+    occ, over = occurrences(plans, start)
     occ = occ.cache()
     for r in over.collect():
         jobs[r.job].schedule_ok = False
@@ -339,22 +339,26 @@ def scan(spark: SparkSession, opt: Options) -> Result:
     return Result(opt.now, start, end, opt.tolerance, jobs, every, warnings, diagnostics, sources, total, understood)
 
 
-def _plans(jobs, start, end, empty, diagnostics) -> tuple[list, list[Warned]]:
+def _plans(spark, jobs, start, end, empty, diagnostics) -> tuple[DataFrame, list[Warned]]:
     """Parsed schedules with their deadlines; warnings of jobs whose schedule or tolerance can't be judged."""
-    plans, warnings = [], []
+    warnings, late, rows = [], {}, []
     for j in jobs:
         deadline = end - timedelta(seconds=j.tolerance)
         if deadline < start and not empty:
-            warnings.append(Warned("empty-window", f"{j.id}: may be {int(j.tolerance)}s late, longer than the window; none of its runs was judged"))
-        for n, expr in enumerate(j.schedules):
-            try:
-                plans.append((j.ord, n, deadline, float(j.tolerance), *(cron if j.source == CRON else calendar).common(expr)))
-            except ValueError as e:
-                j.schedule_ok = False
-                diagnostics.append(Diagnostic(j.id, f"schedule {expr!r} not analysable: {e}", j.origin))
-                if isinstance(e, calendar.ZoneError):
-                    warnings.append(Warned("unsupported-timezone", f"{j.id}: {expr!r} is in a time zone of its own; its missed runs are not looked for"))
-    return plans, warnings
+            late[j.ord] = Warned("empty-window", f"{j.id}: may be {int(j.tolerance)}s late, longer than the window; none of its runs was judged")
+        rows += [(j.ord, n, deadline, float(j.tolerance), j.source, expr) for n, expr in enumerate(j.schedules)]
+    plans = expressions.plans(spark.createDataFrame(rows, "job int, nth int, deadline timestamp_ntz, tolerance double, dialect string, expr string")).cache()
+    bad = {}
+    for r in plans.where("error is not null").orderBy("job", "nth").select("job", "expr", "error", "zone").collect():
+        bad.setdefault(r.job, []).append(r)
+    for j in jobs:
+        warnings += [late[j.ord]] if j.ord in late else []
+        for r in bad.get(j.ord, ()):
+            j.schedule_ok = False
+            diagnostics.append(Diagnostic(j.id, f"schedule {r.expr!r} not analysable: {r.error}", j.origin))
+            if r.zone:
+                warnings.append(Warned("unsupported-timezone", f"{j.id}: {r.expr!r} is in a time zone of its own; its missed runs are not looked for"))
+    return plans.where("error is null").drop("dialect", "expr", "error", "zone"), warnings
 
 
 def _some(users: list[str]) -> str:

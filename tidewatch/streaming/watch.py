@@ -6,38 +6,31 @@ the time up to which it was judged and the runs an occurrence to come may still
 """
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import schedule
+from ..functions import expressions, schedule
 from ..functions.text import one_space
 from ..sources import logs
 
-_FIELDS = [c.split()[0] for c in schedule.SCHEMA.split(", ")]
-_MINUTE = 60_000_000
+_FIELDS = expressions.FIELDS
+_EPOCH = datetime(1970, 1, 1)
 
 
-def _due(plan, after: int, until: int):
-    """Occurrences of a plan, in microseconds, later than after and not later than until; whole minutes."""
-    has = lambda field, v: field is None or v in field
-    days = {}
-    for t in range((after // _MINUTE + 1) * _MINUTE, until + 1, _MINUTE):
-        d = datetime.fromtimestamp(t // 1_000_000, timezone.utc)
-        if d.date() not in days:
-            dom, dow = has(plan["doms"], d.day), has(plan["dows"], d.isoweekday() % 7)
-            days[d.date()] = has(plan["months"], d.month) and has(plan["years"], d.year) and (dom or dow if plan["either"] else dom and dow)
-        if days[d.date()] and d.hour in plan["hours"] and d.minute in plan["minutes"]:
-            yield t
+def _due(plan, after: int, until: int) -> list[int]:
+    """Occurrences of a plan, in microseconds, later than after and not later than until."""
+    lo, hi = (_EPOCH + timedelta(microseconds=us) for us in (after + 1, until))
+    return [(t - _EPOCH) // timedelta(microseconds=1) for t in expressions.times(plan, lo, hi)]
 
 
 def missed(lines: DataFrame, jobs: DataFrame, tolerance_s: int = 120, delay: str = "10 minutes") -> DataFrame:
     """Stream of (job_id, ts), from a stream of lines (source, lineno, value) with full stamps and jobs (job_id, user, command, schedule.SCHEMA).
 
-    A job is watched from its first run on. Its occurrences are whole minutes, as cron's are.
+    A job is watched from its first run on.
     """
     tol = tolerance_s * 1_000_000
     runs = logs.cron_commands(logs.parse(lines, None)).select("user", one_space(F.col("command")).alias("command"), F.col("ts").cast("timestamp").alias("start"))
