@@ -103,3 +103,27 @@ def test_times_and_markup():
             text.when(bad, now)
     assert text.code("a") == "`a`" and text.code("echo `x`") == "`` echo `x` ``" and text.code("a``b") == "```a``b```" and text.code("") == ""
     assert text.cell("a|b\nc") == "a\\|b c"
+
+
+def test_occurrences_apart_equal_the_greedy_choice(spark):
+    r, occ, run = random.Random(8), [], []
+    for job in range(40):
+        occ += {(job, at(s), 90.0 + job % 3) for s in range(r.randrange(400), 40_000, 200 + r.randrange(9)) if r.random() < 0.8}
+        run += [(job, at(s)) for s in r.choices(range(40_000), k=r.randrange(150))]
+    o = spark.createDataFrame(occ, "job_id int, ts timestamp_ntz, tol double")
+    d = spark.createDataFrame(run, "job_id int, start timestamp_ntz")
+    from pyspark.sql import functions as F
+
+    want = sorted(map(tuple, detect.missed_close(o, d, F.col("tol")).collect()))
+    apart = detect.missed(o.withColumn("apart", F.lit(True)), d, F.col("tol"))
+    assert sorted(map(tuple, apart.collect())) == want and len(want) > 500
+    assert sorted(map(tuple, detect.missed(o.withColumn("apart", F.expr("job_id % 2 = 0")), d, F.col("tol")).collect())) == want
+    assert "Window" not in detect.missed_apart(o, d, F.col("tol"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gaps_of_schedules(spark):
+    from tidewatch.functions import expressions, schedule
+
+    texts = {"0 3 * * *": 86400, "*/15 * * * *": 900, "5,50 1 * * *": 900, "0 1,23 * * *": 7200, "0 0,6 * * *": 21600, "* * * * *": 60}
+    d = expressions.plans(spark.createDataFrame([("cron", t) for t in texts] + [("systemd", "*:*:50,10")], "dialect string, expr string"))
+    assert {x.expr: x.gap for x in d.withColumn("gap", schedule.gap()).collect()} == texts | {"*:*:50,10": 20}

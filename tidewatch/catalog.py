@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import cron, expressions, schedule
 from .functions.text import duration
 from .operators import detect, runs as runs_
-from .plans import scan, surrogate
+from .plans import fleet, scan, surrogate
 from .sources import crontab, logs, units
 
 QUERIES: dict = {}
@@ -101,7 +101,7 @@ def missed_hours(spark, sf_dir):
     plan = dict(zip([c.split()[0] for c in schedule.SCHEMA.split(", ")], cron.common("@hourly")))
     kind = {c.split()[0]: c.split()[1] for c in schedule.SCHEMA.split(", ")}
     jobs = r.select("job_id").distinct().select("job_id", *[F.lit(v).cast(kind[k]).alias(k) for k, v in plan.items()])
-    due = schedule.expand(jobs, str(lo), str(hi))
+    due = schedule.expand(jobs.withColumn("job_id", F.struct("job_id", (schedule.gap() > 240).alias("apart"))), str(lo), str(hi)).select("job_id.*", "ts")
     return detect.missed(due, r, 120).select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
 
 
@@ -284,13 +284,14 @@ def run_job_match(spark, sf_dir):
 
 
 @query("unmatched_runs", """
-WITH u AS (SELECT '(u' || user_id || ') run ' || event_type AS said FROM events WHERE user_id % 10 = 3),
+WITH u AS (SELECT '(u' || user_id || ') run ' || event_type AS said FROM events WHERE user_id % 2 <> 0),
 d AS (SELECT DISTINCT said FROM u), e AS (SELECT said FROM d ORDER BY said LIMIT 5)
 SELECT (SELECT count(*) FROM u) AS runs, (SELECT count(*) FROM d) AS "distinct", (SELECT string_agg(said, ', ' ORDER BY said) FROM e) AS examples""")
 def unmatched_runs(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 10 = 3")
-    lost = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("run "), "event_type").alias("command"))
-    return scan.unmatched(lost).withColumn("examples", F.array_join("examples", ", "))
+    """All events are runs; the even users' commands have jobs."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("run "), "event_type").alias("command"), "user_id")
+    jobs = e.where("user_id % 2 = 0").select("user", "command", F.lit("cron").alias("source"), F.lit(1).alias("job_id"))
+    return scan.unmatched(scan.match(e.drop("user_id"), jobs)[1]).withColumn("examples", F.array_join("examples", ", "))
 
 
 _FAILED = """WITH r AS (SELECT user_id AS job, date_trunc('second', ts) AS s, date_trunc('second', ts) + to_minutes(CAST(floor(value) AS BIGINT)) AS e,
@@ -339,6 +340,41 @@ def finding_counts(spark, sf_dir):
     return scan.findings(jobs, occ, runs, states).groupBy("source", "kind", "severity").agg(F.count("*").alias("findings"))
 
 
+_FLEET = """WITH r AS (SELECT user_id % 20 AS h, user_id AS u, event_id AS ord, date_trunc('second', ts) AS s,
+  CASE WHEN user_id % 20 = 18 THEN NULL ELSE date_trunc('second', ts) + to_minutes(CAST(floor(value) AS BIGINT)) END AS e FROM events),
+ b AS (SELECT h, min(s) AS lo, max(greatest(s, coalesce(e, s))) AS hi FROM r GROUP BY h), j AS (SELECT DISTINCT h, u FROM r WHERE u % 7 <> 0),
+ m AS (SELECT * FROM r WHERE u % 7 <> 0 AND h <> 19),
+ o AS (SELECT j.h, u, t FROM j JOIN b USING (h), generate_series(date_trunc('hour', b.lo), b.hi, INTERVAL 1 HOUR) g(t) WHERE h <> 18 AND t >= b.lo AND t <= b.hi - INTERVAL 120 SECOND),
+ f AS (SELECT h, 'missed' AS kind, u, t AS "when" FROM o WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.u = o.u AND m.s BETWEEN o.t - INTERVAL 120 SECOND AND o.t + INTERVAL 120 SECOND)
+  UNION ALL SELECT p.h, 'overlap', p.u, c.s FROM m p JOIN m c ON p.u = c.u AND p.e > c.s AND (p.s, p.e, p.ord) < (c.s, c.e, c.ord))"""
+
+
+def _fleet(spark, sf_dir):
+    """Twenty hosts: hourly jobs of most users; host 18 logs no ends and its jobs are never due, host 19's jobs run other commands."""
+    r = surrogate.runs(spark, sf_dir).select(F.concat(F.lit("h"), (F.col("job_id") % 20).cast("string")).alias("host"), F.col("job_id").alias("u"), "ord", "start", "end")
+    user, head = F.concat(F.lit("u"), F.col("u").cast("string")), F.concat(F.lit("+0200 x CRON["), F.col("ord").cast("string"), F.lit("]: "))
+    session = lambda what: F.concat(F.lit(f"pam_unix(cron:session): session {what} for user "), user)
+    line = lambda t, m: F.struct(F.col(t).alias("t"), m.alias("m"))
+    said = F.array(line("start", session("opened")), line("start", F.concat(F.lit("("), user, F.lit(") CMD (run  it)"))), line("end", session("closed")))
+    lines = r.select("host", "ord", head.alias("head"), F.posexplode(said).alias("nth", "l")).where("host <> 'h18' or nth < 2")
+    lines = lines.select("host", F.lit("syslog").alias("source"), logs.place(F.lit(0), F.col("ord") * 3 + F.col("nth")).alias("lineno"), F.lit(0).alias("block"), F.concat(F.date_format("l.t", "yyyy-MM-dd'T'HH:mm:ss"), "head", "l.m").alias("value"))
+    jobs = r.where("u % 7 <> 0").select("host", "u").distinct().select("host", F.concat(F.lit("cron:"), user).alias("id"), F.lit("cron").alias("source"), F.array(F.when(F.col("host") == "h18", "0 0 30 2 *").otherwise("0 * * * *")).alias("schedules"),
+        user.alias("user"), F.when(F.col("host") == "h19", "other").otherwise("run it").alias("command"), F.lit(None).cast("string").alias("unit"), F.lit(120.0).alias("tolerance"))
+    return fleet.scan(jobs, lines, "2024-12-31 00:00:00")
+
+
+@query("fleet_findings", _FLEET + """ SELECT 'h' || h AS host, kind, 'cron:u' || u AS id, "when" FROM f""")
+def fleet_findings(spark, sf_dir):
+    return _fleet(spark, sf_dir).findings.select("host", "kind", "id", "when")
+
+
+@query("fleet_hosts", _FLEET + """, n AS (SELECT h, count(*) FILTER (kind = 'missed') AS missed, count(*) FILTER (kind = 'overlap') AS overlap FROM f GROUP BY h)
+ SELECT 'h' || h AS host, (SELECT count(*) FROM j WHERE j.h = b.h) AS jobs, (SELECT count(*) FROM m WHERE m.h = b.h) AS runs, coalesce(missed, 0) AS missed, coalesce(overlap, 0) AS overlap, CAST(0 AS BIGINT) AS failure,
+  CASE WHEN h NOT IN (SELECT h FROM j) THEN 'no-schedules' WHEN h = 19 THEN 'no-runs-matched' ELSE '' END AS warnings, CAST(CASE WHEN h NOT IN (SELECT h FROM j) THEN 1 WHEN h = 19 THEN 3 WHEN coalesce(missed, 0) + coalesce(overlap, 0) > 0 THEN 1 ELSE 0 END AS INT) AS exit_code FROM b LEFT JOIN n USING (h)""")
+def fleet_hosts(spark, sf_dir):
+    return _fleet(spark, sf_dir).hosts.select("host", "jobs", "runs", "missed", "overlap", "failure", F.array_join("warnings", ",").alias("warnings"), "exit_code")
+
+
 @query("crontab_entries", """
 SELECT 'c' || n_regionkey AS source, CAST(n_nationkey AS BIGINT) AS lineno,
  CASE n_nationkey % 5 WHEN 0 THEN '@daily' WHEN 1 THEN CASE WHEN n_regionkey % 2 = 0 THEN '*/5 * * * *' ELSE NULL END WHEN 2 THEN '0 3 * * mon' END AS schedule,
@@ -354,11 +390,11 @@ def crontab_entries(spark, sf_dir):
 
 
 @query("merged_jobs", """
-WITH e AS (SELECT 'u' || user_id % 20 AS "user", 'run ' || event_type AS command, event_id % 60 || ' * * * *' AS schedule, event_id AS lineno FROM events WHERE event_id % 7 = 0),
+WITH e AS (SELECT 'u' || user_id % 20 AS "user", 'run ' || event_type AS command, event_id % 60 || ' * * * *' AS schedule, event_id AS lineno FROM events),
  s AS (SELECT "user", command, schedule, min(lineno) AS place FROM e GROUP BY ALL)
 SELECT "user", command, string_agg(schedule, ' ; ' ORDER BY place) AS schedules, (SELECT count(*) FROM e WHERE e."user" = s."user" AND e.command = s.command) AS entries FROM s GROUP BY "user", command""")
 def merged_jobs(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     line = F.concat((F.col("event_id") % 60).cast("string"), F.lit(" * * * * u"), (F.col("user_id") % 20).cast("string"), F.lit("  run  "), "event_type")
     entries = crontab.jobs(crontab.parse(e.select(F.lit("c").alias("source"), F.col("event_id").alias("lineno"), line.alias("value")), True))
     return crontab.merge(entries).select("user", "command", F.array_join("schedules", " ; ").alias("schedules"), F.size("origins").cast("long").alias("entries"))

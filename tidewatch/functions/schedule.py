@@ -23,6 +23,16 @@ def potential(start, end):
     return F.size("hours").cast("long") * F.size("minutes") * F.size("seconds") * days
 
 
+def gap(plan: str = ""):
+    """Seconds that occurrences of one schedule are apart at least; plan is a prefix of its columns, like `p.`."""
+    def least(field, n, unit):
+        f = f"{plan}{field}"
+        return f"array_min(transform(array_sort({f}), (x, i) -> pmod(if(i = 0, x - array_max({f}), x - array_sort({f})[i - 1]), {n}))) * {unit}"
+
+    return F.expr(f"""case when size({plan}seconds) > 1 then {least("seconds", 60, 1)} when size({plan}minutes) > 1 then {least("minutes", 60, 60)}
+        when size({plan}hours) > 1 then {least("hours", 24, 3600)} else 86400 end""")
+
+
 def refused(schedules: DataFrame, start, end) -> DataFrame:
     """(job_id, problem) of the schedules that expand() leaves out."""
     s, e = _window(start, end)

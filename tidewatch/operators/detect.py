@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Width of the time buckets in which overlapping runs meet.
 BUCKET_S = 86_400
+#: Width of the buckets in which an occurrence looks for a run.
+NEAR_BUCKET_S = 3600
 #: Clusters of at most so many (occurrence, run) pairs are matched by expressions.
 SMALL = 1024
 
@@ -53,8 +55,38 @@ def missed(occurrences: DataFrame, runs: DataFrame, tolerance_s) -> DataFrame:
     """Occurrences (job_id, ts) that no run claims; tolerance_s is a number, or a column of occurrences.
 
     Occurrences ascend and each takes the unclaimed run with the least distance within tolerance,
-    the earlier on a tie. Occurrences and runs of a job more than the tolerance apart in time cannot
-    meet, so a job's timeline is cut there into clusters, each matched by itself.
+    the earlier on a tie. Where a boolean column `apart` says that a job's occurrences lie more than
+    twice the tolerance apart, no run can serve two and any near run will do, see missed_apart().
+    """
+    if "apart" not in occurrences.columns:
+        return missed_close(occurrences, runs, tolerance_s)
+    return missed_apart(occurrences.where("apart"), runs, tolerance_s).unionByName(missed_close(occurrences.where("not coalesce(apart, false)"), runs, tolerance_s))
+
+
+def missed_apart(occurrences: DataFrame, runs: DataFrame, tolerance_s) -> DataFrame:
+    """missed() of occurrences more than twice the tolerance apart: those without any run within it.
+
+    A range anti-join in buckets of NEAR_BUCKET_S: a run stands in every bucket that its tolerance reaches.
+    """
+    occ = occurrences.select("job_id", "ts", (F.lit(tolerance_s) if not isinstance(tolerance_s, F.Column) else tolerance_s).cast("double").alias("tol")).distinct()
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    r = runs.select("job_id", us("start").alias("_r"))
+    if isinstance(tolerance_s, F.Column):
+        r = r.join(occ.groupBy("job_id").agg(F.max("tol").alias("_tol")), "job_id")
+    else:
+        r = r.withColumn("_tol", F.lit(float(tolerance_s)))
+    width, reach = NEAR_BUCKET_S * 1_000_000, (F.col("_tol") * 1_000_000).cast("long")
+    r = r.select("job_id", "_r", F.explode(F.sequence(F.floor((F.col("_r") - reach) / width), F.floor((F.col("_r") + reach) / width))).alias("bucket"))
+    occ = occ.withColumn("_t", us("ts")).withColumn("bucket", F.floor(F.col("_t") / width)).alias("o")
+    near = (F.col("o.job_id") == F.col("r.job_id")) & (F.col("o.bucket") == F.col("r.bucket")) & (F.abs(F.col("o._t") - F.col("r._r")) <= F.col("o.tol") * 1_000_000)
+    return occ.join(r.alias("r"), near, "left_anti").select("job_id", "ts")
+
+
+def missed_close(occurrences: DataFrame, runs: DataFrame, tolerance_s) -> DataFrame:
+    """missed() of any occurrences, by greedy choice.
+
+    Occurrences and runs of a job more than the tolerance apart in time cannot meet, so a job's timeline
+    is cut there into clusters, each matched by itself.
     """
     us = lambda col: F.unix_micros(col.cast("timestamp"))
     tol = (F.lit(tolerance_s) if not isinstance(tolerance_s, F.Column) else tolerance_s) * 1_000_000
@@ -93,8 +125,10 @@ def failures(runs: DataFrame, states: DataFrame, near_s: int = 5) -> DataFrame:
     """
     bad = runs.where(run_failed(F.col("result"), F.col("exit_code")))
     seen = bad.select("job_id", F.lit("journalctl").alias("evidence"), F.coalesce("end", "start").alias("when"), F.col("start").alias("started"), "exit_code", "result")
-    ends = seen.select(F.col("job_id").alias("_j"), F.col("when").alias("_at"))
-    close = (F.col("job_id") == F.col("_j")) & (F.abs(F.timestamp_diff("MICROSECOND", "exited", "_at")) <= near_s * 1_000_000)
+    slot = lambda c, more=0: F.floor((_seconds(c) + more) / 60)
+    # an end stands in every minute that near_s reaches
+    ends = seen.select(F.col("job_id").alias("_j"), F.col("when").alias("_at"), F.explode(F.sequence(slot(F.col("when"), -near_s - 1), slot(F.col("when"), near_s + 1))).alias("_slot"))
+    close = (F.col("job_id") == F.col("_j")) & (slot(F.col("exited")) == F.col("_slot")) & (F.abs(F.timestamp_diff("MICROSECOND", "exited", "_at")) <= near_s * 1_000_000)
     standing = states.where("failed").join(ends, close, "left_anti")
     return seen.unionByName(standing.select("job_id", F.lit("systemctl show").alias("evidence"), F.col("exited").alias("when"),
                                             F.lit(None).cast("timestamp_ntz").alias("started"), "exit_code", "result"))

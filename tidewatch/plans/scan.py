@@ -126,8 +126,10 @@ class Result:
 
 def occurrences(plans: DataFrame, start: datetime) -> tuple[DataFrame, DataFrame]:
     """(occurrences, refused ones) of plans (job, nth expression, deadline, tolerance, schedule.SCHEMA)."""
-    d = plans.withColumn("job_id", F.struct("job", "nth", "tolerance"))
-    out = schedule.expand(d, str(start), F.col("deadline")).select("job_id.job", "job_id.tolerance", "ts").distinct().withColumnRenamed("job", "job_id")
+    # occurrences of a job's only schedule are known to be apart; several schedules may come close to each other
+    alone = plans.groupBy("job").agg((F.count("*") == 1).alias("alone"))
+    d = plans.join(alone, "job").withColumn("job_id", F.struct("job", "nth", "tolerance", (F.col("alone") & (schedule.gap() > 2 * F.col("tolerance"))).alias("apart")))
+    out = schedule.expand(d, str(start), F.col("deadline")).select(F.col("job_id.job").alias("job_id"), "job_id.tolerance", "job_id.apart", "ts").distinct()
     return out, schedule.refused(d, str(start), F.col("deadline")).select("job_id.job", "job_id.nth")
 
 
@@ -143,7 +145,7 @@ def findings(jobs: DataFrame, occ: DataFrame, runs: DataFrame, states: DataFrame
     if "missed" not in ignore:
         tol = jobs.select("job_id", "tolerance")
         # fixed values: the wording of findings
-        m = detect.missed(occ, runs, F.col("tolerance")).join(F.broadcast(tol), "job_id")
+        m = detect.missed(occ, runs, F.col("tolerance")).join(tol, "job_id")
         parts.append(m.select("job_id", F.lit("missed").alias("kind"), F.col("ts").alias("when"),
                               F.format_string("scheduled for %s but no run started within %ds", said("ts"), F.col("tolerance").cast("long")).alias("message"),
                               F.to_json(F.struct(iso("ts").alias("expected"), F.col("tolerance").alias("tolerance_seconds"))).alias("details")))
@@ -154,7 +156,7 @@ def findings(jobs: DataFrame, occ: DataFrame, runs: DataFrame, states: DataFrame
                               F.to_json(F.struct(iso("p_start").alias("previous_start"), iso("p_end").alias("previous_end"), iso("c_start").alias("started"), F.col("overlap_s").cast("double").alias("overlap_seconds"))).alias("details")))
     if "failure" not in ignore:
         service = jobs.where(f"source = '{SYSTEMD}'").select("job_id", "unit")
-        f = detect.failures(runs.join(F.broadcast(service.select("job_id")), "job_id"), states).join(F.broadcast(service), "job_id")
+        f = detect.failures(runs.join(service.select("job_id"), "job_id", "left_semi"), states).join(service, "job_id")
         f = f.join(states.select("job_id", "active", "props").dropDuplicates(["job_id"]), "job_id", "left")
         run = F.col("evidence") == "journalctl"
         why = F.array_join(F.array_compact(F.array(F.when(F.col("exit_code") != 0, F.concat(F.lit("exit code "), F.col("exit_code").cast("string"))), F.when(F.col("result") != "success", F.concat(F.lit("result "), "result")))), ", ")
@@ -171,20 +173,23 @@ def findings(jobs: DataFrame, occ: DataFrame, runs: DataFrame, states: DataFrame
     for p in parts[1:]:
         out = out.unionByName(p)
     severity = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
-    return out.join(F.broadcast(jobs.select("job_id", "id", "source")), "job_id").select("kind", severity[F.col("kind")].alias("severity"), "job_id", "id", "source", "message", "when", "details")
+    return out.join(jobs.select("job_id", "id", "source"), "job_id").select("kind", severity[F.col("kind")].alias("severity"), "job_id", "id", "source", "message", "when", "details")
 
 
 def match(cron_runs: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(runs with job_id, runs of no job): a run is the job's of its user and command, spaces counted as one."""
     c = cron_runs.withColumn("command", one_space(F.col("command")))
-    key = jobs.where(f"source = '{CRON}'").groupBy(F.coalesce("user", F.lit("")).alias("user"), "command").agg(F.min("job_id").alias("job_id"))
-    return c.join(F.broadcast(key), ["user", "command"]), c.join(F.broadcast(key), ["user", "command"], "left_anti")
+    by = [*[x for x in ("scan",) if x in jobs.columns], "user", "command"]
+    key = jobs.where(f"source = '{CRON}'").withColumn("user", F.coalesce("user", F.lit(""))).groupBy(*by).agg(F.min("job_id").alias("job_id"))
+    return c.join(key, by), c.join(key, by, "left_anti")
 
 
 def unmatched(lost: DataFrame) -> DataFrame:
     """One row: runs, distinct commands and the first EXAMPLES `(user) command` of runs without a job."""
     d = lost.groupBy(F.concat(F.lit("("), "user", F.lit(") "), "command").alias("said")).agg(F.count("*").alias("n"))
-    return d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("runs"), F.count("*").alias("distinct"), F.slice(F.array_sort(F.collect_list("said")), 1, EXAMPLES).alias("examples"))
+    first = d.select("said").orderBy("said").limit(EXAMPLES).agg(F.array_sort(F.collect_list("said")).alias("examples"))
+    both = d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("runs"), F.count("*").alias("distinct")).unionByName(first, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("runs", "distinct", "examples")])
 
 
 def window(opt: Options, first: datetime | None, last: datetime | None) -> tuple[datetime, datetime, list[str]]:
