@@ -83,12 +83,13 @@ def pair_lines(lines: DataFrame) -> DataFrame:
     d = _placed(lines).withColumn("id", F.concat_ws(":", F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.col("at.src").cast("string"), F.col("lineno").cast("string")))
     d = d.withColumn("sec", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts"))
     d = d.select("scan", "source", "lineno", "pid", "user", "command", "action", "ts", "at", "id", "sec")
-    pid = Window.partitionBy("scan", "pid")
-    known = d.where("pid is not null").withColumn("_before", _neighbour(F.col("at"), pid)).withColumn("_after", _neighbour(F.col("at").desc(), pid))
+    # lines without a pid are commands, each by itself
+    pid = Window.partitionBy("scan", "_pid")
+    known = d.withColumn("_pid", F.coalesce("pid", -1 - F.abs(F.hash("id")).cast("long"))).withColumn("_before", _neighbour(F.col("at"), pid)).withColumn("_after", _neighbour(F.col("at").desc(), pid))
     known = known.withColumn("own", F.when(F.col("action").isNull() & (F.col("_before.action") == "opened"), F.col("_before.id")))
     ends = F.when(F.col("_after.action") == "closed", F.col("_after.at.ts"))
-    known = known.withColumn("end", F.when(F.col("own").isNotNull() | (F.col("action") == "opened"), ends)).withColumn("gone", F.col("_after.at")).drop("_before", "_after")
-    d = written(known.unionByName(d.where("pid is null"), allowMissingColumns=True).where("action is null or action = 'opened'"))
+    known = known.withColumn("end", F.when(F.col("own").isNotNull() | (F.col("action") == "opened"), ends)).withColumn("gone", F.col("_after.at")).drop("_before", "_after", "_pid")
+    d = written(known.where("action is null or action = 'opened'"))
     command, opened = d.where("action is null"), d.where("action = 'opened'")
     holder = command.where("own is not null").groupBy("scan", "own").agg(F.min(F.struct("at", "id", "end")).alias("h")).select(
         "scan", F.col("own").alias("session"), "h.at", "h.id", "h.end")
