@@ -2,7 +2,7 @@
 import random
 from datetime import datetime, timedelta
 
-from tidewatch.operators import detect, runs
+from tidewatch.operators import detect, runs, unitruns
 from tidewatch.sources import logs
 from tidewatch.streaming import pairing
 
@@ -48,3 +48,19 @@ def test_the_hung_run_overlaps_three(spark, tmp_path):
     pairs = sorted((x.job_id, x.previous, x.started, x.overlap_s) for x in got.collect())
     assert pairs == [(1, at(3), at(h), 300) for h in (4, 5, 6)]
     assert pairs == sorted((x.job_id, x.p_start, x.c_start, x.overlap_s) for x in detect.overlaps(spark.createDataFrame(ended, kind)).collect())
+
+
+def test_unit_runs_of_a_stream_equal_the_batch(spark, tmp_path):
+    r, rows = random.Random(11), []
+    kind = "scan string, unit string, ts timestamp_ntz, src int, source string, lineno long, kind string, exit_code int, result string"
+    for n in range(400):
+        t, said = T + timedelta(seconds=r.randrange(1500)), r.choice(["start", "start", "started", "finish", "fail", "fail"])
+        code, result = (r.choice([None, None, 0, 1]), r.choice([None, None, "success", "exit-code"])) if said in ("finish", "fail") else (None, None)
+        rows.append((f"m{r.randrange(2)}", r.choice(["a.service", "b.service", "c.service", None]), t, r.randrange(2), "log", n, said, code, result))
+    rows.sort(key=lambda x: x[2] + timedelta(seconds=r.randrange(300)))  # out of order by less than the delay
+    late = [("m0", "z.service", T + timedelta(hours=9 + h), 0, "log", 1000 + h, "start", None, None) for h in range(3)]
+    batches = [rows[k : k + 100] for k in range(0, 400, 100)] + [[x] for x in late]
+    plain = lambda d: sorted(((x.scan, x.unit, x.start, x.end, x.exit_code, x.result) for x in d.collect()), key=str)
+    got = plain(collected(spark, pairing.unit_runs(stream(spark, tmp_path, batches, kind)), "of_units", tmp_path))
+    want = plain(unitruns.unit_runs(spark.createDataFrame(rows, kind)).where("end is not null"))
+    assert len(want) > 100 and len({x[5] for x in want}) == 3 and got == want
