@@ -13,7 +13,8 @@ found component: its members are dealt into blocks of BLOCK and every pair of bl
 Null, zero and non-finite vectors link with nothing; vectors of different widths neither. Vectors
 equal bit for bit are one class (they link with each other), so a vector repeated without bound
 costs one row. Rows of one vec_id with different vectors are separate members; equal rows give equal
-rows. Rows with a null vec_id link with nothing. An empty table gives an empty one.
+rows. Rows with a null vec_id link with nothing. An empty table gives an empty one; other columns are
+ignored.
 """
 from __future__ import annotations
 
@@ -26,6 +27,8 @@ from .common import components, cut, table
 
 #: PASSES is the least number of passes.
 COSINE, PASSES, BITS, RUN, BLOCK, RECALL = 0.9, 12, 32, 256, 1024, 0.99
+#: Components above BLOCK members that are broadcast at most; more of them are joined by a shuffle.
+SMALL = 1_000_000
 
 
 def passes_for(n: int, cosine: float = COSINE, recall: float = RECALL) -> int:
@@ -119,7 +122,9 @@ def _count(f: pd.DataFrame, cosine: float) -> pd.DataFrame:
 def count(members: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
     """(cls, n): the copies linked with each of members (comp, cls, copies, embedding), n vectors at most."""
     large = members.groupBy("comp").agg(F.count("*").alias("size")).where(f"size > {BLOCK}").select(F.col("comp").alias("_c"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    m = members.join(F.broadcast(large), F.col("comp") == F.col("_c"), "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cls"), "blocks"), F.lit(0)))
+    # n vectors have n / BLOCK such components at most, which bounds the broadcast
+    large = F.broadcast(large) if n <= SMALL * BLOCK else large
+    m = members.join(large, F.col("comp") == F.col("_c"), "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cls"), "blocks"), F.lit(0)))
     m = m.withColumn("o", F.explode(F.expr("sequence(0L, coalesce(blocks, 1L) - 1)")))
     # small components share tasks by hash
     batch = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("comp"), F.lit(n // (4 * BLOCK) + 1))).otherwise(F.col("comp"))

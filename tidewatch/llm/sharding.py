@@ -9,7 +9,8 @@ makes the commit fail: readers see a whole version or the one before. The rename
 store's is (HDFS; not on object stores that copy). Shards are never changed; a lost job leaves files
 that no manifest names.
 
-Every row is kept, repeated and null ones too. An empty arrival makes an empty shard.
+Every row is kept, repeated and null ones too, with all of its columns; read() replaces a column named
+version by its own. Texts of any length are only written. An empty arrival makes an empty shard.
 """
 from __future__ import annotations
 
