@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import cron, expressions, schedule
+from .functions.columns import once
 from .functions.text import duration
 from .operators import detect, runs as runs_
 from .plans import fleet, scan, surrogate
@@ -101,7 +102,8 @@ def missed_hours(spark, sf_dir):
     plan = dict(zip([c.split()[0] for c in schedule.SCHEMA.split(", ")], cron.common("@hourly")))
     kind = {c.split()[0]: c.split()[1] for c in schedule.SCHEMA.split(", ")}
     jobs = r.select("job_id").distinct().select("job_id", *[F.lit(v).cast(kind[k]).alias(k) for k, v in plan.items()])
-    due = schedule.expand(jobs.withColumn("job_id", F.struct("job_id", (schedule.gap() > 240).alias("apart"))), str(lo), str(hi)).select("job_id.*", "ts")
+    jobs = once(jobs.withColumn("job_id", F.struct("job_id", (schedule.gap() > 240).alias("apart"))))  # not worked out for every run
+    due = schedule.expand(jobs, str(lo), str(hi), single=True).select("job_id.*", "ts")
     return detect.missed(due, r, 120).select(F.col("job_id").alias("job"), F.col("ts").alias("due"))
 
 

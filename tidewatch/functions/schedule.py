@@ -46,18 +46,22 @@ def matches(day):
     return has("months", F.month(day)) & has("years", F.year(day)) & F.when(F.col("either"), dom | dow).otherwise(dom & dow)
 
 
-def expand(schedules: DataFrame, start, end) -> DataFrame:
+def expand(schedules: DataFrame, start, end, single: bool = False) -> DataFrame:
     """(job_id, ts), distinct, of schedules (job_id, SCHEMA) in the closed window; start and end are strings or columns.
 
     Days are filtered before hours, minutes and seconds multiply out. A window that ends before it
-    starts has no occurrence; a schedule above MAX_FIRINGS is left out, see refused().
+    starts has no occurrence; a schedule above MAX_FIRINGS is left out, see refused(). The days are dealt
+    out to all tasks before that, as a table of schedules is small and would be multiplied in one task.
+    single says that every job_id has one schedule, without equal values: nothing occurs twice then.
     """
     s, e = _window(start, end)
+    dealt = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = schedules.where((s <= e) & (potential(start, end) <= MAX_FIRINGS))
     d = d.withColumn("_s", s).withColumn("_e", e).withColumn("_day", F.explode(F.sequence(F.to_date("_s"), F.greatest(F.to_date("_s"), F.to_date("_e")))))
-    d = d.where(matches(F.col("_day")))
+    d = d.where(matches(F.col("_day"))).repartition(dealt, "job_id", "_day")
     d = d.select("job_id", "_s", "_e", "_day", F.explode("hours").alias("_h"), "minutes", "seconds")
     d = d.select("job_id", "_s", "_e", "_day", "_h", F.explode("minutes").alias("_m"), "seconds")
     d = d.select("job_id", "_s", "_e", "_day", "_h", "_m", F.explode("seconds").alias("_sec"))
-    ts = F.expr("make_timestamp_ntz(year(_day), month(_day), day(_day), _h, _m, _sec)")
-    return d.withColumn("ts", ts).where("ts between _s and _e").select("job_id", "ts").distinct()
+    ts = F.expr("cast(_day as timestamp_ntz) + ((_h * 60 + _m) * 60 + _sec) * interval '1' second")
+    d = d.withColumn("ts", ts).where("ts between _s and _e")
+    return d.select("job_id", "ts") if single else d.select("job_id", "_day", "ts").distinct().select("job_id", "ts")

@@ -51,34 +51,39 @@ def _unclaimed(occ, runs, tol: int) -> list[int]:
     return lost
 
 
-def missed(occurrences: DataFrame, runs: DataFrame, tolerance_s) -> DataFrame:
+def missed(occurrences: DataFrame, runs: DataFrame, tolerance_s, reach: DataFrame | None = None) -> DataFrame:
     """Occurrences (job_id, ts) that no run claims; tolerance_s is a number, or a column of occurrences.
 
     Occurrences ascend and each takes the unclaimed run with the least distance within tolerance,
     the earlier on a tie. Where a boolean column `apart` says that a job's occurrences lie more than
     twice the tolerance apart, no run can serve two and any near run will do, see missed_apart().
+    reach (job_id, tolerance), a row per job, spares a second reading of occurrences for their tolerances.
     """
     if "apart" not in occurrences.columns:
         return missed_close(occurrences, runs, tolerance_s)
-    return missed_apart(occurrences.where("apart"), runs, tolerance_s).unionByName(missed_close(occurrences.where("not coalesce(apart, false)"), runs, tolerance_s))
+    return missed_apart(occurrences.where("apart"), runs, tolerance_s, reach).unionByName(missed_close(occurrences.where("not coalesce(apart, false)"), runs, tolerance_s))
 
 
-def missed_apart(occurrences: DataFrame, runs: DataFrame, tolerance_s) -> DataFrame:
+def missed_apart(occurrences: DataFrame, runs: DataFrame, tolerance_s, reach: DataFrame | None = None) -> DataFrame:
     """missed() of occurrences more than twice the tolerance apart: those without any run within it.
 
     A range anti-join in buckets of NEAR_BUCKET_S: a run stands in every bucket that its tolerance reaches.
     """
-    occ = occurrences.select("job_id", "ts", (F.lit(tolerance_s) if not isinstance(tolerance_s, F.Column) else tolerance_s).cast("double").alias("tol")).distinct()
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width, micros = NEAR_BUCKET_S * 1_000_000, lambda tol: (tol * 1_000_000).cast("long")
+    tol = tolerance_s if isinstance(tolerance_s, F.Column) else F.lit(float(tolerance_s))
+    occ = occurrences.select("job_id", "ts", micros(tol).alias("tol"), us("ts").alias("_t"))
     r = runs.select("job_id", us("start").alias("_r"))
     if isinstance(tolerance_s, F.Column):
-        r = r.join(occ.groupBy("job_id").agg(F.max("tol").alias("_tol")), "job_id")
+        most = occ.groupBy("job_id").agg(F.max("tol").alias("_tol")) if reach is None else reach.select("job_id", micros(F.col("tolerance")).alias("_tol"))
+        r = r.join(most, "job_id")
     else:
-        r = r.withColumn("_tol", F.lit(float(tolerance_s)))
-    width, reach = NEAR_BUCKET_S * 1_000_000, (F.col("_tol") * 1_000_000).cast("long")
-    r = r.select("job_id", "_r", F.explode(F.sequence(F.floor((F.col("_r") - reach) / width), F.floor((F.col("_r") + reach) / width))).alias("bucket"))
-    occ = occ.withColumn("_t", us("ts")).withColumn("bucket", F.floor(F.col("_t") / width)).alias("o")
-    near = (F.col("o.job_id") == F.col("r.job_id")) & (F.col("o.bucket") == F.col("r.bucket")) & (F.abs(F.col("o._t") - F.col("r._r")) <= F.col("o.tol") * 1_000_000)
+        r = r.withColumn("_tol", micros(tol))
+    r = r.select("job_id", "_r", F.explode(F.sequence(F.floor((F.col("_r") - F.col("_tol")) / width), F.floor((F.col("_r") + F.col("_tol")) / width))).alias("bucket"))
+    # dealt by bucket once, for distinct rows and for the join
+    dealt = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    occ = occ.withColumn("bucket", F.floor(F.col("_t") / width)).repartition(dealt, "job_id", "bucket").distinct().alias("o")
+    near = (F.col("o.job_id") == F.col("r.job_id")) & (F.col("o.bucket") == F.col("r.bucket")) & (F.abs(F.col("o._t") - F.col("r._r")) <= F.col("o.tol"))
     return occ.join(r.alias("r"), near, "left_anti").select("job_id", "ts")
 
 

@@ -68,7 +68,8 @@ def scan(jobs: DataFrame, lines: DataFrame, now: str, states: DataFrame | None =
     due = window.withColumn("deadline", F.expr("to - make_dt_interval(0, 0, 0, tolerance)")).select("job_id", "tolerance", F.col("source").alias("dialect"), "from", "deadline", F.size("schedules").alias("n"), F.posexplode("schedules").alias("nth", "expr"))
     plans = written(expressions.plans(due))
     good = plans.where("error is null").withColumn("job_id", F.struct("job_id", "tolerance", ((F.col("n") == 1) & (schedule.gap() > 2 * F.col("tolerance"))).alias("apart")))
-    occ = schedule.expand(good, F.col("from"), F.col("deadline")).select("job_id.*", "ts").distinct()
+    # missed occurrences are distinct there, so a job named twice does no harm
+    occ = schedule.expand(good.where("n = 1"), F.col("from"), F.col("deadline"), single=True).unionByName(schedule.expand(good.where("n > 1"), F.col("from"), F.col("deadline"))).select("job_id.*", "ts")
     kinds = "job_id string, unit string, failed boolean, exited timestamp_ntz, exit_code int, result string, active string, props map<string,string>"
     st = spark.createDataFrame([], kinds)
     if states is not None:
