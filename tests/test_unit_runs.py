@@ -91,3 +91,15 @@ def test_a_unit_that_is_always_open_needs_one_walk_more(spark, monkeypatch):
 def test_no_events(spark):
     assert unitruns.unit_runs(spark.createDataFrame([], EVENT)).count() == 0
     assert unitruns.unit_runs(spark.createDataFrame([("s", None, T, "a", 1, "start", None, None, "x")], EVENT)).count() == 0
+
+
+def test_whole_units_are_walked_where_they_are_cut(spark, monkeypatch):
+    """Their events are rows, not arrays of which a batch holds thousands."""
+    rows = [("s", f"u{u:03}", T + timedelta(seconds=60 * n), "a", n, "finish" if n % 2 else "start", 0 if n % 2 else None, None, None) for u in range(300) for n in range(6)]
+    tables, real = [], unitruns.written
+    monkeypatch.setattr(unitruns, "written", lambda df: tables.append(real(df)) or tables[-1])
+    assert found(spark, rows) == expected(rows)
+    cut = tables[1]
+    assert cut.count() == len(rows)
+    # the first and the last unit of a task may go on in another
+    assert cut.where("run is null").select("unit").distinct().count() <= 2 * cut.select("part").distinct().count() < 20

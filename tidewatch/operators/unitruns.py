@@ -5,8 +5,8 @@ them no `started` has confirmed yet (the youngest ones, as the oldest is always
 when and with which details the run that ended last did so. Runs end in the order they were opened in,
 so the n-th ending that closes a run closes the n-th run opened, and no queue is ever carried.
 
-Events are put in order by range and cut into segments; a unit that is one segment is walked once. The
-segments of other units are walked in parallel, from nothing open and from more open runs than can
+Events are put in order by range and cut into segments; a unit that is one segment is walked as it is
+cut, so no more than a batch of its task's events is held. The segments of other units are walked in parallel, from nothing open and from more open runs than can
 end. A walk gives a summary: the state it came from, the state it leads to, and how far the state
 before it may differ with every decision staying the same. Summaries of a unit are chained in order.
 Where none holds for the state that reaches a segment, the segment is walked again from that state,
@@ -30,6 +30,7 @@ NEVER, MANY = 1 << 62, 1 << 40
 
 _KEY = "scan string, unit string, part int, seq int"
 _EVENTS = "ts array<long>, kind array<string>, exit_code array<int>, result array<string>"
+_CUT = f"{_KEY}, nth int, ts long, kind string, exit_code int, result string, run long"
 _STATE = "open long, fresh long, end long, coded boolean, bad boolean"
 _COUNTS = "opened long, closed long, orphans long"
 _COLUMNS = ["open", "fresh", "end", "coded", "bad"]
@@ -89,15 +90,26 @@ def _holds(delta_open, delta_fresh, low, zero) -> bool:
 
 
 def _cut(frames):
-    """The events of a sorted partition as segments of one unit each."""
+    """The events of a sorted partition, a row each, with their place in a segment of one unit.
+
+    A unit that is one segment for certain is walked at once, and its events have their runs. Not more than
+    a batch and a segment are held.
+    """
     part, key, seq, rows, out, opening = TaskContext.get().partitionId(), None, 0, [], [], True
-    columns = [c.split()[0] for c in f"{_KEY}, {_EVENTS}, whole boolean".split(", ")]
+    columns = [c.split()[0] for c in _CUT.split(", ")]
 
     def segment(whole):
-        out.append((*key, part, seq, *map(list, zip(*rows)), whole))
+        runs = _walk(*zip(*((k, t, c, r) for t, k, c, r in rows)), (0, 0, NEVER, False, False))[3] if whole else [None] * len(rows)
+        out.extend((*key, part, seq, n, *event, run) for n, (event, run) in enumerate(zip(rows, runs)))
+
+    def table():
+        f = pd.DataFrame(out, columns=columns)
+        out.clear()
+        return f.astype({"exit_code": "Int32", "run": "Int64"})
 
     for f in frames:
-        for scan, unit, *event in zip(f["scan"], f["unit"], f["us"], f["kind"], f["exit_code"], f["result"]):
+        codes = f["exit_code"].astype("Int32").astype(object).where(f["exit_code"].notna(), None)
+        for scan, unit, *event in zip(f["scan"], f["unit"], f["us"], f["kind"], codes, f["result"]):
             if (scan, unit) != key or len(rows) == SEGMENT:
                 same = (scan, unit) == key
                 if rows:
@@ -105,14 +117,12 @@ def _cut(frames):
                     opening &= same
                 seq = seq + 1 if same else 0
                 key, rows = (scan, unit), []
-            event[2] = None if pd.isna(event[2]) else int(event[2])
             rows.append(event)
         if out:
-            yield pd.DataFrame(out, columns=columns)
-            out.clear()
+            yield table()
     if rows:
         segment(False)  # the unit may go on in the next task
-        yield pd.DataFrame(out, columns=columns)
+        yield table()
 
 
 _SUMMARY = f"{_KEY}, again boolean, start long, {_STATE}, to_open long, to_fresh long, to_end long, to_coded boolean, to_bad boolean, ended boolean, {_COUNTS}, last long, low array<long>, zero array<boolean>"
@@ -175,8 +185,11 @@ def unit_runs(events: DataFrame) -> DataFrame:
     scan = d.select(F.col("scan") if "scan" in has else F.lit(0).alias("scan")).schema["scan"].dataType
     d = d.select((F.col("scan") if "scan" in has else F.lit(0)).cast("string").alias("scan"), "unit", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.struct(*place, "lineno").alias("at"), "kind", F.col("exit_code").cast("int").alias("exit_code"), "result")
     d, order = written(d), ["scan", "unit", "us", "at"]  # ranges are sampled before events are dealt out
-    segments = written(d.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_cut, f"{_KEY}, {_EVENTS}, whole boolean"))
-    key, parts = ["scan", "unit", "part", "seq"], segments.where("not whole")
+    cut = written(d.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_cut, _CUT))
+    key = ["scan", "unit", "part", "seq"]
+    # the few segments of units that others may go on in, or that are long
+    event = F.array_sort(F.collect_list(F.struct("nth", "ts", "kind", "exit_code", "result")))
+    parts = cut.where("run is null").groupBy(*key).agg(event.alias("e")).select(*key, *[F.col(f"e.{c.split()[0]}").alias(c.split()[0]) for c in _EVENTS.split(", ")])
     walked = written(parts.mapInPandas(lambda frames: _summaries(frames, False), _SUMMARY))
     while True:
         chained = written(walked.groupBy("scan", "unit").applyInPandas(_chain, _CHAINED))
@@ -185,12 +198,10 @@ def unit_runs(events: DataFrame) -> DataFrame:
             break
         more = parts.join(again.select(*key, *_COLUMNS), key).mapInPandas(lambda frames: _summaries(frames, True), _SUMMARY)
         walked = written(walked.join(again.select(*key, F.lit(True).alias("again")), [*key, "again"], "left_anti").unionByName(more))
-    zero = F.lit(0).cast("long")
-    first = [zero.alias("open"), zero.alias("fresh"), F.lit(NEVER).alias("end"), F.lit(False).alias("coded"), F.lit(False).alias("bad"), *[zero.alias(c) for c in ("opened", "closed", "orphans", "last")]]
-    ready = segments.where("whole").drop("whole").select("*", *first).unionByName(parts.drop("whole").join(chained.drop("holds"), key))
-    labelled = ready.mapInPandas(_label, f"{_KEY}, {_EVENTS}, run array<long>")
-    d = labelled.select("scan", "unit", "part", "seq", F.posexplode(F.arrays_zip("ts", "kind", "exit_code", "result", "run")).alias("nth", "e"))
-    d = d.select("scan", "unit", F.expr("shiftleft(cast(part as bigint), 40) + shiftleft(cast(seq as bigint), 16) + nth").alias("at"), "e.ts", "e.kind", "e.exit_code", "e.result", "e.run").where("run <> 0")
+    labelled = parts.join(chained.drop("holds"), key).mapInPandas(_label, f"{_KEY}, {_EVENTS}, run array<long>")
+    labelled = labelled.select(*key, F.posexplode(F.arrays_zip("ts", "kind", "exit_code", "result", "run")).alias("nth", "e")).select(*key, "nth", "e.*")
+    d = cut.where("run is not null").unionByName(labelled)
+    d = d.withColumn("at", F.expr("shiftleft(cast(part as bigint), 40) + shiftleft(cast(seq as bigint), 16) + nth")).where("run <> 0")
     ends, coded = F.col("kind").isin("finish", "fail"), F.when(F.col("exit_code").isNotNull(), F.col("at"))
     r = d.groupBy("scan", "unit", "run").agg(
         F.min("ts").alias("start"), F.max(F.when(ends, F.col("ts"))).alias("end"), F.min_by("exit_code", coded).alias("exit_code"), F.min(coded).alias("_coded"),
