@@ -54,14 +54,23 @@ def expand(schedules: DataFrame, start, end, single: bool = False) -> DataFrame:
     out to all tasks before that, as a table of schedules is small and would be multiplied in one task.
     single says that every job_id has one schedule, without equal values: nothing occurs twice then.
     """
+    d = clock(days(schedules, start, end))
+    return d.select("job_id", "ts") if single else d.select("job_id", "_day", "ts").distinct().select("job_id", "ts")
+
+
+def days(schedules: DataFrame, start, end) -> DataFrame:
+    """schedules of expand(), a row for every _day of the window that they fire on, dealt out by (job_id, _day)."""
     s, e = _window(start, end)
     dealt = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = schedules.where((s <= e) & (potential(start, end) <= MAX_FIRINGS))
     d = d.withColumn("_s", s).withColumn("_e", e).withColumn("_day", F.explode(F.sequence(F.to_date("_s"), F.greatest(F.to_date("_s"), F.to_date("_e")))))
-    d = d.where(matches(F.col("_day"))).repartition(dealt, "job_id", "_day")
-    d = d.select("job_id", "_s", "_e", "_day", F.explode("hours").alias("_h"), "minutes", "seconds")
-    d = d.select("job_id", "_s", "_e", "_day", "_h", F.explode("minutes").alias("_m"), "seconds")
-    d = d.select("job_id", "_s", "_e", "_day", "_h", "_m", F.explode("seconds").alias("_sec"))
+    return d.where(matches(F.col("_day"))).repartition(dealt, "job_id", "_day")
+
+
+def clock(d: DataFrame, more: tuple[str, ...] = (), of_hour=lambda d: d) -> DataFrame:
+    """(job_id, _day, ts, *more) of the occurrences on days(); of_hour is applied to the rows of (day, hour _h)."""
+    d = of_hour(d.select("job_id", "_s", "_e", "_day", F.explode("hours").alias("_h"), "minutes", "seconds", *more))
+    d = d.select("job_id", "_s", "_e", "_day", "_h", F.explode("minutes").alias("_m"), "seconds", *more)
+    d = d.select("job_id", "_s", "_e", "_day", "_h", "_m", F.explode("seconds").alias("_sec"), *more)
     ts = F.expr("cast(_day as timestamp_ntz) + ((_h * 60 + _m) * 60 + _sec) * interval '1' second")
-    d = d.withColumn("ts", ts).where("ts between _s and _e")
-    return d.select("job_id", "ts") if single else d.select("job_id", "_day", "ts").distinct().select("job_id", "ts")
+    return d.withColumn("ts", ts).where("ts between _s and _e").select("job_id", "_day", "ts", *more)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import schedule
+
 #: Width of the time buckets in which overlapping runs meet.
 BUCKET_S = 86_400
 #: Width of the buckets in which an occurrence looks for a run.
@@ -87,6 +89,31 @@ def missed_apart(occurrences: DataFrame, runs: DataFrame, tolerance_s, reach: Da
     return occ.join(r.alias("r"), near, "left_anti").select("job_id", "ts")
 
 
+def missed_planned(schedules: DataFrame, runs: DataFrame, start, end) -> DataFrame:
+    """(job_id, tolerance, ts): missed_apart() of schedules (job_id, tolerance, schedule.SCHEMA) in the window, one of a job_id.
+
+    runs: job_id, start and the job's tolerance; those of other jobs do no harm.
+
+    Schedules meet runs as days, before hours, minutes and seconds multiply out; occurrences are never
+    shuffled, sorted or joined. A run stands on every day that its tolerance reaches. Of the runs that start in
+    one second the first and the last are kept, as occurrences are whole seconds, so a day has a bounded list.
+    """
+    epoch, day, dealt = F.lit("1970-01-01"), 86_400_000_000, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    micros = lambda c: F.timestamp_diff("MICROSECOND", epoch.cast("timestamp_ntz"), c)
+    tol = (F.col("tolerance") * 1_000_000).cast("long").alias("_tol")
+    schedules = schedules.withColumn("_tol", tol)
+    r = runs.select("job_id", micros(F.col("start")).alias("_r"), tol)
+    r = r.select("job_id", "_r", F.explode(F.sequence(F.floor((F.col("_r") - F.col("_tol")) / day), F.floor((F.col("_r") + F.col("_tol")) / day))).alias("_n"))
+    r = r.select("job_id", F.date_add(epoch.cast("date"), F.col("_n").cast("int")).alias("_day"), "_r", F.floor(F.col("_r") / 1_000_000).alias("_sec")).repartition(dealt, "job_id", "_day")
+    r = r.groupBy("job_id", "_day", "_sec").agg(F.min("_r").alias("a"), F.max("_r").alias("b"))
+    r = r.groupBy("job_id", "_day").agg(F.array_distinct(F.concat(F.collect_list("a"), F.collect_list("b"))).alias("_near"))
+    d = schedule.days(schedules, start, end).join(r, ["job_id", "_day"], "left")
+    begin = f"(datediff(_day, date '1970-01-01') * {day} + _h * 3600000000)"
+    in_hour = lambda d: d.withColumn("_near", F.expr(f"filter(_near, r -> r between {begin} - _tol and {begin} + 3600000000 + _tol)"))
+    occ = schedule.clock(d, ("tolerance", "_tol", "_near"), in_hour).withColumn("_t", micros(F.col("ts")))
+    return occ.where("not coalesce(exists(_near, r -> abs(_t - r) <= _tol), false)").select("job_id", "tolerance", "ts")
+
+
 def missed_close(occurrences: DataFrame, runs: DataFrame, tolerance_s) -> DataFrame:
     """missed() of any occurrences, by greedy choice.
 
