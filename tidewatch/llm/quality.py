@@ -18,8 +18,8 @@ document's peak is its highest ratio, 0 at least, and it is rejected above the l
 from held-out clean documents as the threshold does: one half of the labels, with half the smoothing,
 judges the other. Without toxic labels all peaks are 0, without held-out clean ones there is no limit.
 
-Each text is scored where it lies: the ratios are three arrays of BUCKETS whole numbers, constants of
-the plan. For counting and for fitting, documents are joined with the ids of all labelled ones, which
+Each text is scored where it lies: the ratios are three lists of BUCKETS whole numbers, which the
+executors work out from the counts, constants of the plan. For counting and for fitting, documents are joined with the ids of all labelled ones, which
 Spark broadcasts while they are few and shuffles else.
 
 Null text has no words and fails the base rules. Repeated rows are counted and returned as often as
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, words
 
+#: A power of two.
 BUCKETS = 1 << 16
 #: Share of held-out good documents that the threshold keeps.
 KEEP = 0.999
@@ -58,12 +59,12 @@ def _hashed(docs: DataFrame):
 
 def _one(h):
     """The bucket of a word's unigram."""
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return h.bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def _two(h, i):
     """The bucket of the bigram that begins at word i of _h; the last word is a bigram with an end."""
-    return F.pmod(F.xxhash64(h, F.coalesce(F.get(F.col("_h"), i + 1), F.lit(0).cast("long"))), F.lit(BUCKETS)).cast("int")
+    return _one(F.xxhash64(h, F.coalesce(F.get(F.col("_h"), i + 1), F.lit(0).cast("long"))))
 
 
 def _grams(docs: DataFrame):
@@ -78,20 +79,25 @@ def _keys(words_):
 
 def _bucket(key, nth: int):
     """A key's bucket in the first or the second table."""
-    return F.pmod(F.shiftright(key, 20 * nth) if nth else key, F.lit(BUCKETS)).cast("int")
+    return _one(F.shiftright(key, 20 * nth) if nth else key)
 
 
-def _constant(numbers: list[int]):
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")  # folds to a constant
+def _constant(numbers: str):
+    return F.split(F.lit(numbers), ",").cast("array<bigint>")  # folds to a constant
 
 
-def _with(numbers: list[int], use):
+def _with(numbers: str, use):
     """use(the constant array of numbers), which stands in the plan once however often it is looked up."""
     return F.get(F.transform(F.array(_constant(numbers)), use), F.lit(0))
 
 
-def measured(docs: DataFrame, ratio: list[int] | None = None, odds: list[list[int]] | None = None) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, peak and base_failed."""
+def _listed(d: DataFrame, *columns: str) -> list[str]:
+    """Each column's whole numbers in the order of g, joined by commas: one string each for the driver, not a row for every g."""
+    return list(d.agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", c))), lambda x: x[c]), ",") for c in columns]).first())  # noqa: B023
+
+
+def measured(docs: DataFrame, ratio: str | None = None, odds: list[str] | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, peak and base_failed; with only these of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.drop(*BASE, "score", "peak", "base_failed")
     own = d.columns
@@ -111,8 +117,8 @@ def measured(docs: DataFrame, ratio: list[int] | None = None, odds: list[list[in
     covered = "cast(aggregate(_i, named_struct('end', 0, 'n', 0), (a, i) -> named_struct('end', i + 3, 'n', a.n + i + 3 - greatest(a.end, i)), a -> a.n) as long)"
     score = peak = F.lit(0.0)
     if ratio is not None:
-        each = lambda of: F.transform("_h", lambda h, i: F.get(of, _one(h)) + F.get(of, _two(h, i)))
-        score = _with(ratio, lambda of: F.aggregate(each(of), F.lit(0).cast("long"), lambda a, x: a + x)) / F.greatest(2 * F.size("_h"), F.lit(1)) / SCALE
+        grams = lambda of: F.transform("_h", lambda h, i: F.get(of, _one(h)) + F.get(of, _two(h, i)))
+        score = _with(ratio, lambda of: F.aggregate(grams(of), F.lit(0).cast("long"), lambda a, x: a + x)) / F.greatest(2 * F.size("_h"), F.lit(1)) / SCALE
     if odds is not None:
         # a peak is 0 at least, so keys that the first table does not raise above 0 cannot matter
         second = _constant(odds[1])
@@ -120,7 +126,7 @@ def measured(docs: DataFrame, ratio: list[int] | None = None, odds: list[list[in
         lower = lambda first: F.transform(raised(first), lambda k: F.least(F.get(first, _bucket(k, 0)), F.get(second, _bucket(k, 1))))
         peak = F.greatest(F.coalesce(_with(odds[0], lambda first: F.array_max(lower(first))), F.lit(0)), F.lit(0)) / SCALE
     # a generator's output: a filter on these columns must not carry the expressions to the scan
-    return d.select(*own, F.inline(F.array(F.struct(
+    each = (
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -128,7 +134,10 @@ def measured(docs: DataFrame, ratio: list[int] | None = None, odds: list[list[in
         F.expr(covered).alias("n_repeat_words"),
         score.alias("score"),
         peak.alias("peak"),
-    )))).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words"))
+    )
+    names = (*BASE, "score", "peak")
+    d = d.select(*own, F.inline(F.array(F.struct(*[c for n, c in zip(names, each) if only is None or n in only]))))
+    return d if only is not None and "base_failed" not in only else d.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words"))
 
 
 def target(labels: DataFrame) -> DataFrame:
@@ -137,23 +146,20 @@ def target(labels: DataFrame) -> DataFrame:
     return good.withColumn("_half", F.expr("if(pmod(xxhash64(_d, 5), 2) = 0, 1, null)"))
 
 
-def ratios(docs: DataFrame, good: DataFrame) -> tuple[list[int], list[int]]:
-    """The ratio of every bucket in parts of SCALE, and that with one half of good, from target()."""
+def ratios(docs: DataFrame, good: DataFrame) -> tuple[str, str]:
+    """The ratio of every bucket in parts of SCALE, and that with one half of good, from target(); see _listed()."""
     d = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_d"), "left")
     # the buckets come from a generator, or the filter of explode would work them out again for every word
     g = _grams(d).select("_d", "_half", F.inline(F.array(F.struct(F.col("_g").alias("_b")))))
-    n = g.select("_d", "_half", F.explode("_b").alias("g")).groupBy("g").agg(F.count("*"), F.count("_d"), F.count("_half")).collect()
-    raw, own, half = ([0] * BUCKETS for _ in range(3))
-    for g, raw[g], own[g], half[g] in n:
-        pass
-    total = sum(raw)
+    n = cut(g.select("_d", "_half", F.explode("_b").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.count("_d").alias("own"), F.count("_half").alias("half")))
+    total, *masses = n.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("raw", "own", "half")]).first()
+    n = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "g").join(n, "g", "left").fillna(0)
 
-    def of(c):
-        all_ = sum(c)
-        one = lambda x, r: math.log((x + 1) / (all_ + BUCKETS)) - math.log((r + 1) / (total + BUCKETS))
-        return [round(SCALE * one(x, r)) if all_ else 0 for x, r in zip(c, raw)]
+    def of(c, all_):
+        one = lambda x, mass: F.log((F.col(x) + 1) / F.lit(mass + BUCKETS))
+        return (F.rint(SCALE * (one(c, all_) - one("raw", total))) if all_ else F.lit(0)).cast("long").alias(c)
 
-    return of(own), of(half)
+    return tuple(_listed(n.select("g", *map(of, ("own", "half"), masses)), "own", "half"))
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -162,34 +168,31 @@ def labelled(labels: DataFrame) -> DataFrame:
     return d.withColumn("_half", F.pmod(F.xxhash64("_d", F.lit(5)), F.lit(2)) == 0)
 
 
-def toxic_odds(docs: DataFrame, known: DataFrame) -> tuple[list[list[int]], list[list[int]]]:
-    """Both tables of odds in parts of SCALE, and those of one half of known, from labelled()."""
+def toxic_odds(docs: DataFrame, known: DataFrame) -> tuple[list[str], list[str]]:
+    """Both tables of odds in parts of SCALE, and those of one half of known, from labelled(); see _listed()."""
     d = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_d"))
     k = _keys(words(F.col("text")))
     # the second table's buckets follow those of the first
     first, second = F.transform(k, lambda x: _bucket(x, 0)), F.transform(k, lambda x: _bucket(x, 1) + BUCKETS)
     g = d.select("_toxic", "_half", F.inline(F.array(F.struct(F.array_distinct(F.concat(first, second)).alias("_b"))))).select("_toxic", "_half", F.explode("_b").alias("g"))
-    one = [F.count_if(c) for toxic in (F.col("_toxic"), ~F.col("_toxic")) for c in (toxic, toxic & F.col("_half"))]
-    toxic, toxic_half, clean, clean_half = ([0] * 2 * BUCKETS for _ in range(4))
-    for g, toxic[g], toxic_half[g], clean[g], clean_half[g] in g.groupBy("g").agg(*one).collect():
-        pass
-
-    def of(bad, fine, even):
-        out = []
-        for at in (slice(0, BUCKETS), slice(BUCKETS, None)):
-            scale = sum(bad[at]) / max(sum(fine[at]), 1)
-            out.append([round(SCALE * math.log((b + even) / (f * scale + even))) for b, f in zip(bad[at], fine[at])])
-        return out
-
-    if not any(toxic):  # nothing to tell by
-        return [[0] * BUCKETS] * 2, [[0] * BUCKETS] * 2
-    return of(toxic, clean, EVEN), of(toxic_half, clean_half, EVEN / 2)
+    bad, half = F.col("_toxic"), F.col("_half")
+    counts = {"toxic": bad, "toxic_half": bad & half, "clean": ~bad, "clean_half": ~bad & half}
+    n = cut(g.groupBy("g").agg(*[F.count_if(c).alias(name) for name, c in counts.items()]))
+    n = docs.sparkSession.range(2 * BUCKETS).withColumnRenamed("id", "g").join(n, "g", "left").fillna(0).withColumn("nth", F.floor(F.col("g") / BUCKETS))
+    mass = {m.nth: m for m in n.groupBy("nth").agg(*[F.sum(name).alias(name) for name in counts]).collect()}
+    out = []
+    for fine, toxic, even in (("clean", "toxic", EVEN), ("clean_half", "toxic_half", EVEN / 2)):
+        for nth in (0, 1):
+            scale = mass[nth][toxic] / max(mass[nth][fine], 1)
+            of = F.rint(SCALE * F.log((F.col(toxic) + even) / (F.col(fine) * F.lit(scale) + even))) if mass[0]["toxic"] else F.lit(0)  # else nothing to tell by
+            out += _listed(n.where(F.col("nth") == nth).select("g", of.cast("long").alias("v")), "v")
+    return out[:2], out[2:]
 
 
 def limit(docs: DataFrame, known: DataFrame, half: list[list[int]]) -> float:
     """The limit that keeps KEEP of the held-out clean documents, with MARGIN; infinity without any."""
     held = docs.select("doc_id", "text").join(known.where("not _toxic and not _half"), F.col("doc_id") == F.col("_d"), "left_semi")
-    s = cut(measured(held, None, half).select("peak"))
+    s = cut(measured(held, None, half, only=("peak",)).select("peak"))
     n, spread = s.agg(F.count("*"), F.stddev_pop("peak")).first()
     lost = int(round(n * (1 - KEEP), 6))
     return s.orderBy(F.desc("peak")).limit(lost + 1).agg(F.min("peak")).first()[0] + MARGIN * round(spread, 6) / math.sqrt(n) if n else math.inf
@@ -198,7 +201,7 @@ def limit(docs: DataFrame, known: DataFrame, half: list[list[int]]) -> float:
 def fit(docs: DataFrame, good: DataFrame, half: list[int]) -> float:
     """The threshold that keeps KEEP of the held-out good documents, with MARGIN; minus infinity without any."""
     held = docs.select("doc_id", "text").join(good.where("_half is null"), F.col("doc_id") == F.col("_d"), "left_semi")
-    s = cut(measured(held, half).where("not base_failed").select("score"))
+    s = cut(measured(held, half, only=("n_words", "n_repeat_words", "score", "base_failed")).where("not base_failed").select("score"))
     n, spread = s.agg(F.count("*"), F.stddev_pop("score")).first()
     lost = int(round(n * (1 - KEEP), 6))
     return s.orderBy("score").limit(lost + 1).agg(F.max("score")).first()[0] - MARGIN * round(spread, 6) / math.sqrt(n) if n else -math.inf
