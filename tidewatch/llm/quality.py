@@ -53,25 +53,16 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _hashed(docs: DataFrame):
-    """docs with _w, its words, and _h, the hashes of these in lower case."""
-    return docs.withColumn("_w", words(F.col("text"))).withColumn("_h", F.expr("transform(_w, x -> xxhash64(lower(x)))"))
+    """docs with _w, its words, _h, the hashes of these in lower case, and _b, those of the bigrams that begin at them; the last word is a bigram with an end."""
+    d = docs.withColumn("_w", words(F.col("text"))).withColumn("_h", F.expr("transform(_w, x -> xxhash64(lower(x)))"))
+    return d.withColumn("_b", F.expr("zip_with(_h, slice(_h, 2, size(_h)), (x, y) -> xxhash64(x, coalesce(y, 0L)))"))
 
 
 def _one(h):
-    """The bucket of a word's unigram."""
+    """The bucket of a unigram or bigram."""
     return h.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def _two(h, i):
-    """The bucket of the bigram that begins at word i of _h; the last word is a bigram with an end."""
-    return _one(F.xxhash64(h, F.coalesce(F.get(F.col("_h"), i + 1), F.lit(0).cast("long"))))
-
-
-def _grams(docs: DataFrame):
-    """docs with _w and _g, the buckets of its lower-cased unigrams and bigrams."""
-    return _hashed(docs).withColumn("_g", F.concat(F.transform("_h", _one), F.transform("_h", _two))).drop("_h")
-
-
 def _keys(words_):
     """The hashes of the different words, under which odds are kept."""
     return F.transform(F.array_distinct(words_), lambda w: F.xxhash64(F.btrim(F.lower(w), F.lit(ENDS))))
@@ -103,22 +94,23 @@ def measured(docs: DataFrame, ratio: str | None = None, odds: list[str] | None =
     own = d.columns
     d = _hashed(d)
     d = d.withColumn("_l", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\v\f\r")) != ""))
-    # a 3-word window is known by its hash
-    d = d.withColumn("_t", F.expr("transform(slice(_w, 1, greatest(size(_w) - 2, 0)), (x, i) -> xxhash64(x, _w[i + 1], _w[i + 2]))"))
-    # where any is found again: longs of half a hash and the start, sorted; those beside an equal half may be found again
+    # a 3-word window found again is one in lower case too, which its two bigrams tell
+    d = d.withColumn("_t", F.expr("""zip_with(slice(_b, 1, greatest(size(_b) - 2, 0)), slice(_b, 2, greatest(size(_b) - 2, 0)), (x, y) -> x ^ shiftleft(y, 1))"""))
+    # where any may be: longs of half of this and the start, sorted; those beside an equal half may be found again
     d = d.withColumn("_s", F.expr("""if(size(array_distinct(_t)) = size(_t), slice(_t, 1, 0),
         sort_array(transform(_t, (h, i) -> (h & -4294967296L) | i)))"""))
     d = d.withColumn("_c", F.expr("""filter(_s, (x, k) -> (k > 0 and shiftright(_s[k - 1], 32) = shiftright(x, 32))
         or (k < size(_s) - 1 and shiftright(_s[k + 1], 32) = shiftright(x, 32)))"""))
-    # the whole hashes of these decide: (hash, start) pairs sorted, so that one found again stands beside its equal
-    d = d.withColumn("_p", F.expr("""array_sort(transform(transform(_c, x -> cast(x & 4294967295L as int)), i -> named_struct('h', _t[i], 'i', i)))"""))
+    # the hashes of these windows' words decide: (hash, start) pairs sorted, so that one found again stands beside its equal
+    d = d.withColumn("_p", F.expr("""array_sort(transform(transform(_c, x -> cast(x & 4294967295L as int)),
+        i -> named_struct('h', xxhash64(_w[i], _w[i + 1], _w[i + 2]), 'i', i)))"""))
     d = d.withColumn("_i", F.expr("""if(size(_p) = 0, cast(array() as array<int>), array_sort(transform(filter(_p, (x, k) ->
         (k > 0 and _p[k - 1].h = x.h) or (k < size(_p) - 1 and _p[k + 1].h = x.h)), x -> x.i)))"""))
     covered = "cast(aggregate(_i, named_struct('end', 0, 'n', 0), (a, i) -> named_struct('end', i + 3, 'n', a.n + i + 3 - greatest(a.end, i)), a -> a.n) as long)"
     score = peak = F.lit(0.0)
     if ratio is not None:
-        grams = lambda of: F.transform("_h", lambda h, i: F.get(of, _one(h)) + F.get(of, _two(h, i)))
-        score = _with(ratio, lambda of: F.aggregate(grams(of), F.lit(0).cast("long"), lambda a, x: a + x)) / F.greatest(2 * F.size("_h"), F.lit(1)) / SCALE
+        total = lambda of, c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.get(of, _one(x)))
+        score = _with(ratio, lambda of: total(of, "_h") + total(of, "_b")) / F.greatest(2 * F.size("_h"), F.lit(1)) / SCALE
     if odds is not None:
         # a peak is 0 at least, so keys that the first table does not raise above 0 cannot matter
         second = _constant(odds[1])
@@ -149,9 +141,9 @@ def target(labels: DataFrame) -> DataFrame:
 def ratios(docs: DataFrame, good: DataFrame) -> tuple[str, str]:
     """The ratio of every bucket in parts of SCALE, and that with one half of good, from target(); see _listed()."""
     d = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_d"), "left")
-    # the buckets come from a generator, or the filter of explode would work them out again for every word
-    g = _grams(d).select("_d", "_half", F.inline(F.array(F.struct(F.col("_g").alias("_b")))))
-    n = cut(g.select("_d", "_half", F.explode("_b").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.count("_d").alias("own"), F.count("_half").alias("half")))
+    # the hashes come from a generator, or the filter of explode would work them out again for every word
+    g = _hashed(d).select("_d", "_half", F.inline(F.array(F.struct(F.concat("_h", "_b").alias("_g")))))
+    n = cut(g.select("_d", "_half", F.explode("_g").alias("g")).groupBy(_one(F.col("g")).alias("g")).agg(F.count("*").alias("raw"), F.count("_d").alias("own"), F.count("_half").alias("half")))
     total, *masses = n.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("raw", "own", "half")]).first()
     n = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "g").join(n, "g", "left").fillna(0)
 
@@ -170,10 +162,10 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def toxic_odds(docs: DataFrame, known: DataFrame) -> tuple[list[str], list[str]]:
     """Both tables of odds in parts of SCALE, and those of one half of known, from labelled(); see _listed()."""
-    d = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_d"))
-    k = _keys(words(F.col("text")))
+    # a column of its own, or each of the two uses would work the keys out
+    d = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_d")).withColumn("_k", _keys(words(F.col("text"))))
     # the second table's buckets follow those of the first
-    first, second = F.transform(k, lambda x: _bucket(x, 0)), F.transform(k, lambda x: _bucket(x, 1) + BUCKETS)
+    first, second = F.transform("_k", lambda x: _bucket(x, 0)), F.transform("_k", lambda x: _bucket(x, 1) + BUCKETS)
     g = d.select("_toxic", "_half", F.inline(F.array(F.struct(F.array_distinct(F.concat(first, second)).alias("_b"))))).select("_toxic", "_half", F.explode("_b").alias("g"))
     bad, half = F.col("_toxic"), F.col("_half")
     counts = {"toxic": bad, "toxic_half": bad & half, "clean": ~bad, "clean_half": ~bad & half}
