@@ -29,6 +29,8 @@ from .common import components, cut, table
 SHINGLE, SIMILARITY, RECALL, BLOCK = 5, 0.8, 0.9995, 1024
 #: Most hash functions of a signature, and words worked on at once.
 HASHES, CHUNK = 100, 1 << 15
+#: Shingles, and rows of links, that a matrix of links is worked out for at once.
+COLUMNS, ROWS_AT_ONCE = 1024, 128
 
 
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -129,13 +131,16 @@ def _links(sets: list[np.ndarray]) -> np.ndarray:
     uniq, inv = np.unique(np.concatenate(sets), return_inverse=True)
     owner, common = np.repeat(np.arange(len(sets)), sizes), np.zeros((len(sets), len(sets)), kind)
     order = np.argsort(inv, kind="stable")
-    cuts = np.searchsorted(inv[order], np.arange(0, len(uniq) + 4096, 4096))
-    for lo, (a, b) in zip(range(0, len(uniq), 4096), zip(cuts, cuts[1:])):
+    cuts = np.searchsorted(inv[order], np.arange(0, len(uniq) + COLUMNS, COLUMNS))
+    for lo, (a, b) in zip(range(0, len(uniq), COLUMNS), zip(cuts, cuts[1:])):
         m = order[a:b]
-        x = np.zeros((len(sets), min(4096, len(uniq) - lo)), kind)
+        x = np.zeros((len(sets), min(COLUMNS, len(uniq) - lo)), kind)
         x[owner[m], inv[m] - lo] = 1
         common += x @ x.T
-    link = 5 * common >= 4 * (sizes[:, None] + sizes[None, :] - common)
+    link = np.empty(common.shape, bool)
+    for k in range(0, len(sets), ROWS_AT_ONCE):  # the sums take several times the room of the links
+        part = common[k : k + ROWS_AT_ONCE]
+        link[k : k + ROWS_AT_ONCE] = 5 * part >= 4 * (sizes[k : k + ROWS_AT_ONCE, None] + sizes[None, :] - part)
     np.fill_diagonal(link, False)
     return link
 
@@ -156,7 +161,7 @@ def _verify(f: pd.DataFrame) -> pd.DataFrame:
                 link &= keys[:, b][:, None] != keys[:, b][None, :]
         hit = np.flatnonzero(link.any(axis=1))
         own += [ids[k] for k in hit]
-        n += (link[hit] @ copies).tolist()
+        n += [int(copies[link[k]].sum()) for k in hit]
         # a spanning forest of the links keeps their components
         seen = np.zeros(len(ids), bool)
         for s in hit:
