@@ -19,7 +19,7 @@ from held-out clean documents as the threshold does: one half of the labels, wit
 judges the other. Without toxic labels all peaks are 0, without held-out clean ones there is no limit.
 
 Each text is scored where it lies: the ratios are three lists of BUCKETS whole numbers, which the
-executors work out from the counts, constants of the plan. For counting and for fitting, documents are joined with the ids of all labelled ones, which
+executors work out from the counts, constants of the plan that it does not spell out. For counting and for fitting, documents are joined with the ids of all labelled ones, which
 Spark broadcasts while they are few and shuffles else.
 
 Null text has no words and fails the base rules. Repeated rows are counted and returned as often as
@@ -29,6 +29,7 @@ on whole in one task, so it must fit there some ten times over. An empty table g
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,13 +74,18 @@ def _bucket(key, nth: int):
     return _one(F.shiftright(key, 20 * nth) if nth else key)
 
 
-def _constant(numbers: str):
-    return F.split(F.lit(numbers), ",").cast("array<bigint>")  # folds to a constant
+def _variable(spark, numbers: str) -> str:
+    """A new session variable of the array of numbers. It folds to a constant that is packed and has no text: as a
+    literal its digits are copied at every level of an expression whenever the driver describes a plan."""
+    name = f"tidewatch_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<BIGINT>")
+    spark.sql(f"SET VARIABLE {name} = cast(split(:numbers, ',') AS ARRAY<BIGINT>)", {"numbers": numbers})
+    return name
 
 
-def _with(numbers: str, use):
-    """use(the constant array of numbers), which stands in the plan once however often it is looked up."""
-    return F.get(F.transform(F.array(_constant(numbers)), use), F.lit(0))
+def _with(constant: str, use):
+    """use(the array of a variable), which stands in the plan once however often it is looked up."""
+    return F.get(F.transform(F.array(F.expr(constant)), use), F.lit(0))
 
 
 def _listed(d: DataFrame, *columns: str) -> list[str]:
@@ -108,15 +114,16 @@ def measured(docs: DataFrame, ratio: str | None = None, odds: list[str] | None =
         (k > 0 and _p[k - 1].h = x.h) or (k < size(_p) - 1 and _p[k + 1].h = x.h)), x -> x.i)))"""))
     covered = "cast(aggregate(_i, named_struct('end', 0, 'n', 0), (a, i) -> named_struct('end', i + 3, 'n', a.n + i + 3 - greatest(a.end, i)), a -> a.n) as long)"
     score = peak = F.lit(0.0)
+    constants = [_variable(docs.sparkSession, numbers) for numbers in ([] if ratio is None else [ratio]) + list(odds or [])]
     if ratio is not None:
         total = lambda of, c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.get(of, _one(x)))
-        score = _with(ratio, lambda of: total(of, "_h") + total(of, "_b")) / F.greatest(2 * F.size("_h"), F.lit(1)) / SCALE
+        score = _with(constants[0], lambda of: total(of, "_h") + total(of, "_b")) / F.greatest(2 * F.size("_h"), F.lit(1)) / SCALE
     if odds is not None:
         # a peak is 0 at least, so keys that the first table does not raise above 0 cannot matter
-        second = _constant(odds[1])
+        second = F.expr(constants[-1])
         raised = lambda first: F.filter(_keys(F.col("_w")), lambda k: F.get(first, _bucket(k, 0)) > 0)
         lower = lambda first: F.transform(raised(first), lambda k: F.least(F.get(first, _bucket(k, 0)), F.get(second, _bucket(k, 1))))
-        peak = F.greatest(F.coalesce(_with(odds[0], lambda first: F.array_max(lower(first))), F.lit(0)), F.lit(0)) / SCALE
+        peak = F.greatest(F.coalesce(_with(constants[-2], lambda first: F.array_max(lower(first))), F.lit(0)), F.lit(0)) / SCALE
     # a generator's output: a filter on these columns must not carry the expressions to the scan
     each = (
         F.size("_w").cast("long").alias("n_words"),
@@ -129,6 +136,8 @@ def measured(docs: DataFrame, ratio: str | None = None, odds: list[str] | None =
     )
     names = (*BASE, "score", "peak")
     d = d.select(*own, F.inline(F.array(F.struct(*[c for n, c in zip(names, each) if only is None or n in only]))))
+    for name in constants:  # the analysed plan holds their values
+        docs.sparkSession.sql(f"DROP TEMPORARY VARIABLE {name}")
     return d if only is not None and "base_failed" not in only else d.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words"))
 
 
